@@ -18,4 +18,4 @@ def xxh3_64(s: pd.Series) -> pd.Series:
         h = xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace"))
         return h - (1 << 64) if h >= 1 << 63 else h
 
-    return s.map(one, na_action="ignore").astype("Int64")
+    return pd.Series(pd.array([None if x is None or x is pd.NA else one(x) for x in s], dtype="Int64"))

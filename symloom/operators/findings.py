@@ -60,10 +60,10 @@ def resolve_renames(events: DataFrame, rounds: int = 16) -> DataFrame:
 
     A rename moves the events before it; chains are followed one hop a round, at most ``rounds`` hops.
     """
-    moves = events.where("op = 'rename'").select("finding_id", F.col("from").alias("m_from"), F.col("to").alias("m_to"), F.col("seq").alias("m_seq"))
+    moves = events.where("op = 'rename'").select(F.col("finding_id").alias("m_finding"), F.col("from").alias("m_from"), F.col("to").alias("m_to"), F.col("seq").alias("m_seq"))
     out = events.where("op <> 'rename'").withColumn("moved", F.lit(0).cast("long"))
     for _ in range(rounds):
-        j = out.join(moves, (out.finding_id == moves.finding_id) & (out.anchor == moves.m_from) & (moves.m_seq > F.greatest(out.seq, out.moved)), "left").drop(moves.finding_id)
+        j = out.join(moves, (F.col("finding_id") == F.col("m_finding")) & (F.col("anchor") == F.col("m_from")) & (F.col("m_seq") > F.greatest("seq", "moved")), "left")
         w = Window.partitionBy("finding_id", "seq").orderBy(F.col("m_seq").asc_nulls_last())
         j = j.withColumn("rn", F.row_number().over(w)).where("rn = 1")
         out = j.select(*[F.coalesce("m_to", "anchor").alias("anchor") if c == "anchor" else F.coalesce("m_seq", "moved").alias("moved") if c == "moved" else c for c in out.columns])

@@ -55,7 +55,7 @@ def append_anchor_events(events: DataFrame, path: str) -> None:
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """id, text, tags, parent_ids, created_at of Markdown records with a front matter; others are skipped."""
-    raw = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "raw")
+    raw = spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
     m = raw.select(F.regexp_extract("raw", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$", 1).alias("head"), F.regexp_extract("raw", r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$", 2).alias("text"))
     one = lambda k: F.regexp_extract("head", rf"(?m)^{k}:\s*['\"]?([^'\"\r\n]*)", 1)
 
