@@ -180,15 +180,20 @@ class Rolled:
 
     def __init__(self, spark: SparkSession, d: str):
         self.scratch = Scratch(spark, "rollup")
-        self.symbols = graph(spark, d, "g_symbols")
+        self.symbols = self.scratch.save(graph(spark, d, "g_symbols"), "symbols")
         self.aggregates = ru.aggregate_ids(self.symbols, self.scratch)
         self.edges = self.scratch.save(ru.aggregate_edges(graph(spark, d, "g_edges"), self.aggregates, self.symbols), "edges")
         self._inputs = (spark, d)
+        self._nodes = None
 
     @property
     def nodes(self) -> DataFrame:
-        spark, d = self._inputs
-        return ru.aggregate_nodes(self.edges, self.symbols, *(graph(spark, d, f"g_{t}") for t in ("packages", "defs", "files")))
+        """Written once, as most queries read them more than once."""
+        if self._nodes is None:
+            spark, d = self._inputs
+            nodes = ru.aggregate_nodes(self.edges, self.symbols, *(graph(spark, d, f"g_{t}") for t in ("packages", "defs", "files")))
+            self._nodes = self.scratch.save(nodes, "nodes")
+        return self._nodes
 
     @property
     def pairs(self) -> DataFrame:
@@ -301,7 +306,7 @@ def k6(spark: SparkSession, d: str) -> DataFrame:
 def k8(spark: SparkSession, d: str) -> DataFrame:
     """Size and real share of tests of every community of the hierarchy."""
     r = Rolled(spark, d)
-    nodes = r.scratch.save(r.nodes.where("not external"), "nodes")
+    nodes = r.nodes.where("not external")
     tree = an.hierarchy(nodes, an.clustering_pairs(nodes, r.edges), r.scratch).join(nodes.select("id", "test"), "id")
     ratio = F.avg(F.col("test").cast("double"))
     return tree.groupBy("community", "parent", "depth").agg(F.count(F.lit(1)).alias("size"), F.round(ratio, 6).alias("test_ratio"), (ratio >= 0.6).alias("test_infra"))
@@ -333,7 +338,7 @@ select b."language", nodes, coalesce(g.n, 0) god_nodes, (select count(*) from cl
 )
 def k10(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
-    nodes = r.scratch.save(r.nodes, "nodes")
+    nodes = r.nodes
     return an.graph_stats(nodes, an.god_nodes(nodes, an.weighted_degree(r.pairs)), r.membership)
 
 
@@ -444,7 +449,7 @@ select community_id, count(*) size, max(n_links) n_links, count(distinct pkg) n_
 @add("x3_domains", AGG + DOMAINS)
 def x3(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
-    return ax.domains(r.scratch.save(r.nodes, "nodes"), r.edges, r.membership)
+    return ax.domains(r.nodes, r.edges, r.membership)
 
 
 @add("k11_earned_domains", AGG + DOMAINS[: DOMAINS.rindex("select community_id")] + "select count(distinct community_id) domains from dom")

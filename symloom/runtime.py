@@ -120,6 +120,16 @@ class Scratch:
         self.files.delete(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for the cores before a stage of Python work: a table that came as one piece is spread.
+
+    A table of many splits, as any large one, stays where it is and is not shuffled.
+    """
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if 2 * splits <= cores else df
+
+
 def id_or_null(c: Column) -> Column:
     """Ids of 0 mean "no reference"."""
     return F.when(c != 0, c)
