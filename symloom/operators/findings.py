@@ -114,8 +114,8 @@ def find_directives(findings: DataFrame, anchors: DataFrame, paths: DataFrame, n
         arms = arms.unionByName(semantic.where(F.col("cosine") >= COSINE_FLOOR).join(d, "id").select("id", F.lit("semantic").alias("arm"), F.col("cosine").alias("s")))
     arms = arms.withColumn("rn", F.row_number().over(Window.partitionBy("arm").orderBy(F.desc(F.round("s", 9)), "id")))
     out = arms.groupBy("id").agg(F.sum(1.0 / (60 + F.col("rn"))).alias("score"))
-    out = out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")))
-    return out.where(F.col("rank") <= limit)
+    first = out.orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")))  # at most ``limit`` rows
 
 
 def store_findings(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
