@@ -11,6 +11,7 @@ common subsequence of an item window and the text beside it, by bit-parallel add
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
@@ -23,9 +24,11 @@ from symloom.llm.words import words
 
 PATTERN = 5
 BLOCK = 2
-# window of item words, words of it that must be there: one in eight may be changed or left out
-WINDOWS = ((20, 18), (32, 28))
-MIN_RUNS = 4  # runs of five words that survive two changes in 20 words
+# window of item words, words of it that must be there: one in eight may be changed or left out. A passage of any
+# n >= 20 words with at most n // 8 changes holds one of these: 20 to 23, 24 to 31 and 32 to 39 words the first, second
+# and third; in 40 or more, stretches of 20, 24 or 32 side by side would need more changes than the passage may have.
+WINDOWS = ((20, 18), (24, 21), (32, 28))
+MIN_RUNS = 4  # no more than the runs of five words that survive: 6 of 16, 5 of 20 and 8 of 28
 BAND = 12  # words that a passage may drift from its diagonal by words left out or put in
 BLOCK_WORDS = 2_000_000  # words of test items searched for in one pass over the documents
 
@@ -114,28 +117,21 @@ class Searcher:
 
     @staticmethod
     def _compare(item: list[int], ids: list[int], hits: list[tuple[int, int]]) -> bool:
-        tried = set()
         # item words that occur beside the hits at all bound what any window can share
         beside = set(ids[max(0, min(q for _, q in hits) - 40) : max(q for _, q in hits) + 40])
         upto = [0, *accumulate(x in beside for x in item)]
+        diagonals: dict[int, set[int]] = {}
+        for p, q in hits:
+            diagonals.setdefault(p, set()).add(q - p)
+        starts = sorted(diagonals)
+        before = [0, *accumulate(p in diagonals for p in range(len(item)))]
         for size, needed in WINDOWS:
-            if size > len(item):
-                break
-            first = 0
-            for k in range(len(hits)):
-                while hits[k][0] - hits[first][0] > size - PATTERN:
-                    first += 1
-                # windows that reach from this hit backwards: the runs in one window tell how many words can be there
-                if len({p for p, _ in hits[first : k + 1]}) < MIN_RUNS:
+            for p in range(max(0, starts[0] + PATTERN - size), min(starts[-1], len(item) - size) + 1):
+                # the runs in a window tell how many of its words can be there
+                if before[p + size - PATTERN + 1] - before[p] < MIN_RUNS or upto[p + size] - upto[p] < needed:
                     continue
-                lo, hi = max(0, hits[k][0] + PATTERN - size), min(hits[first][0], len(item) - size)
-                for p in range(lo, hi + 1):
-                    if upto[p + size] - upto[p] < needed:
-                        continue
-                    q = hits[first][1] - (hits[first][0] - p)
-                    if (size, p, q) in tried:
-                        continue
-                    tried.add((size, p, q))
+                inside = starts[bisect_left(starts, p) : bisect_right(starts, p + size - PATTERN)]
+                for q in {p + x for s in inside for x in diagonals[s]}:
                     near = ids[max(0, q - size // 4) : q + size + size // 4]
                     if common_words(item[p : p + size], near) >= needed:
                         return True

@@ -93,3 +93,54 @@ def test_rows(spark):
         assert sorted(map(tuple, leakage.leaked_items(docs, more).collect())) == [(20, 7), (80, 5), (80, 7)]
     finally:
         leakage.BLOCK_WORDS = was
+
+
+def brute_any_length(item: list[bytes], text: list[bytes]) -> bool:
+    """Some n >= 20 running item words of which all but n // 8 stand in order in n + n // 4 words of the text."""
+    for p in range(len(item) - 19):
+        for q in range(len(text)):
+            if text[q] not in item[p : p + 1 + (len(item) - p) // 8]:  # the text may begin with a word that is there
+                continue
+            row = [0] * (len(text) - q + 1)
+            for n, x in enumerate(item[p:], 1):
+                new = [0]
+                for j, y in enumerate(text[q:]):
+                    new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+                row = new
+                if n >= 20 and row[min(n + n // 4, len(row) - 1)] >= n - n // 8:
+                    return True
+    return False
+
+
+def test_equals_brute_force_over_all_lengths():
+    rng = random.Random(11)
+    items = {i: make(rng, 60) for i in range(3)}
+    searcher = leakage.Searcher({i: words(" ".join(w)) for i, w in items.items()})
+    found = 0
+    for trial in range(24):
+        text = make(rng, 40)
+        n = rng.randrange(18, 46)
+        at = rng.randrange(61 - n)
+        w = items[trial % 3][at : at + n]
+        for x in rng.sample(range(n), n // 8 + rng.choice((0, 0, 1))):
+            w[x] = rng.choice(("x", None))
+        text[20:20] = [t for t in w if t]
+        ids = words(" ".join(text))
+        want = sorted(i for i in items if brute_any_length(words(" ".join(items[i])), ids))
+        assert sorted(searcher.leaks(" ".join(text))) == want, (trial, n)
+        found += len(want)
+    assert 12 <= found < 24
+
+
+def test_passages_that_no_window_of_20_words_holds():
+    w = [f"w{i}" for i in range(60)]
+    searcher = leakage.Searcher({1: words(" ".join(w))})
+
+    def text(lo: int, hi: int, changed: tuple[int, ...]) -> str:
+        return " ".join("x" if i in changed else w[i] for i in range(lo, hi))
+
+    for n in range(24, 32):  # three changes, none of the windows of 20 words with fewer
+        assert searcher.leaks(text(10, 10 + n, (10 + n // 2 - 4, 10 + n // 2, 10 + n // 2 + 4))) == [1], n
+    assert searcher.leaks(text(10, 33, (16, 21, 26))) == []
+    # the passage 8 to 27 begins behind runs of a stretch that is too much changed
+    assert searcher.leaks(text(0, 28, (5, 6, 7, 20, 25))) == [1]
