@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.markup import TAG, tag_name
+from symloom.runtime import Scratch
 
 KINDS = ("function", "method", "constructor", "destructor", "operator")
 
@@ -216,11 +217,11 @@ def function_table(symbols: DataFrame) -> DataFrame:
     )
 
 
-def documented(symbols: DataFrame, docs: DataFrame) -> DataFrame:
-    """sym_id, qualified, name, declaration, norm_sig, description of all told documentation rows.
+def declared(symbols: DataFrame, docs: DataFrame) -> DataFrame:
+    """sym_id, qualified, name, declaration, norm_sig, description of all documentation rows; an empty description tells nothing.
 
     Repeated rows are reduced before the join, so a symbol with very many rows is no hot key of the join.
-    Null and blank texts tell nothing; rows of unknown symbols are left out.
+    Rows of unknown symbols are left out.
     """
     rows = docs.where("sym_id is not null").select("sym_id", "sig", "doc").distinct()
     joined = rows.join(function_table(symbols), "sym_id").select("sym_id", "qualified", "name", "sig", "doc")
@@ -234,19 +235,26 @@ def documented(symbols: DataFrame, docs: DataFrame) -> DataFrame:
                 [b.column(0), b.column(1), b.column(2), *cols], ["sym_id", "qualified", "name", "declaration", "norm_sig", "description"]
             )
 
-    return joined.mapInArrow(read, schema).where("description <> ''")
+    return joined.mapInArrow(read, schema)
+
+
+def documented(symbols: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of :func:`declared` that tell something; null and blank texts tell nothing."""
+    return declared(symbols, docs).where("description <> ''")
 
 
 def function_pairs(symbols: DataFrame, docs: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
     """sym_id, qualified, norm_sig, declaration, description, path, body_start_line, body_end_line.
 
     Each documented declaration with the definitions of its qualified name: those of the symbol itself,
-    and of other symbols of that name whose documented signature is the same. The newest placed
-    definition of a symbol counts; one without any has nulls.
+    and of other symbols of that name with the same signature, by all their declarations, undocumented ones
+    included. Where the signature of either is unknown, they are joined if that name has no two signatures.
+    The newest placed definition of a symbol counts; one without any has nulls.
     """
-    told = documented(symbols, docs)
-    pairs = told.groupBy("sym_id", "qualified", "norm_sig").agg(F.max(F.struct(F.length("description"), "description", "declaration")).alias("m"))
-    pairs = pairs.select("sym_id", "qualified", "norm_sig", F.col("m.description").alias("description"), F.col("m.declaration").alias("declaration"))
+    rows = declared(symbols, docs).groupBy("sym_id", "qualified", "norm_sig").agg(F.max(F.struct(F.length("description"), "description", "declaration")).alias("m"))
+    rows = rows.select("sym_id", "qualified", "norm_sig", F.col("m.description").alias("description"), F.col("m.declaration").alias("declaration"))
+    rows = Scratch(docs.sparkSession, "pairs").save(rows)
+    pairs = rows.where("description <> ''")
     placed = defs.where("sym_id is not null and start_line > 0").groupBy("sym_id").agg(
         F.max(F.struct("loaded_at", "file_id", "body_start_line", "body_end_line")).alias("p")
     )
@@ -255,7 +263,17 @@ def function_pairs(symbols: DataFrame, docs: DataFrame, defs: DataFrame, files:
     where = names.join(placed, names.def_id == placed.sym_id).select("def_id", "q", "p.*")
     where = where.join(paths, where.file_id == paths.fid, "left").select("def_id", "q", "path", "body_start_line", "body_end_line")
     own = pairs.join(where.drop("q"), pairs.sym_id == where.def_id, "left").drop("def_id")
-    # definitions of another symbol under the same qualified name, if that name has one signature only
-    single = pairs.groupBy(F.col("qualified").alias("q")).agg(F.countDistinct("norm_sig").alias("sigs")).where("sigs = 1").select("q")
-    others = where.join(single, "q").join(pairs, F.col("q") == pairs.qualified).where("def_id <> sym_id").select(*own.columns)
+    # definitions of another symbol under the same qualified name, by signature
+    sigs = rows.where("norm_sig <> ''").select("sym_id", F.col("qualified").alias("q"), F.col("norm_sig").alias("sig"))
+    of_def = where.select("q", "def_id").join(sigs.select(F.col("sym_id").alias("def_id"), "sig"), "def_id", "left")
+    # a row without a declaration speaks for all signatures of its symbol
+    bare = pairs.where("norm_sig = ''").select("sym_id", "norm_sig", F.col("qualified").alias("q")).join(sigs.drop("q"), "sym_id", "left")
+    of_pair = pairs.where("norm_sig <> ''").select("sym_id", "norm_sig", F.col("qualified").alias("q"), F.col("norm_sig").alias("sig")).unionByName(bare)
+    same = of_pair.join(of_def, ["q", "sig"]).select("sym_id", "norm_sig", "def_id")
+    several = sigs.groupBy("q").agg(F.countDistinct("sig").alias("n")).where("n > 1").select("q")
+    sole_pair, sole_def = of_pair.join(several, "q", "left_anti"), of_def.join(several, "q", "left_anti")
+    told, known = sole_pair.withColumnRenamed("sig", "a"), sole_def.withColumnRenamed("sig", "b")
+    alone = told.join(known, "q").where("a is null or b is null").select("sym_id", "norm_sig", "def_id")
+    links = same.unionByName(alone).where("def_id <> sym_id").distinct()
+    others = links.join(pairs, ["sym_id", "norm_sig"]).join(where.drop("q"), "def_id").select(*own.columns)
     return own.unionByName(others)

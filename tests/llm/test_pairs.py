@@ -57,3 +57,20 @@ def test_rows(spark):
     got = pairs.function_pairs(symbols, docs, defs, files).collect()
     assert sorted((r.sym_id, r.path, r.body_start_line) for r in got) == [(1, "a.rs", 12), (1, "b.rs", 2)]
     assert pairs.documented(symbols, docs.where("false")).count() == 0
+
+
+def test_overloads_are_told_by_their_signatures(spark):
+    # f(int) and f(str) are each declared in one file and defined under another id; g's second overload is undocumented
+    symbols = spark.createDataFrame(
+        [(i, f"cpp:a::{n}~{i}", "function", n, "2025-01-01") for i, n in ((1, "f"), (2, "f"), (3, "f"), (4, "f"), (5, "g"), (6, "g"), (7, "f"))],
+        "id long, pub_id string, kind string, name string, loaded_at string",
+    )
+    docs = spark.createDataFrame(
+        [(1, "int f(int a)", "Keeps the order."), (2, "int f(string a)", "Drops blank rows."), (3, "int f(int x)", None), (4, "int f(string x)", ""), (5, "int g(int a)", "Waits for the lock."), (6, "int g(string a)", "TODO")],
+        "sym_id long, sig string, doc string",
+    )
+    defs = spark.createDataFrame([(i, i, 10, i, 20, "2025-01-01") for i in (3, 4, 6, 7)], "sym_id long, file_id long, start_line int, body_start_line int, body_end_line int, loaded_at string")
+    files = spark.createDataFrame([(i, f"{i}.cc", "2025-01-01") for i in range(1, 8)], "id long, path string, loaded_at string")
+    got = sorted((r.sym_id, r.norm_sig, r.path or "") for r in pairs.function_pairs(symbols, docs, defs, files).collect())
+    # 7 has no declaration and f has two signatures: it belongs to neither
+    assert got == [(1, "f(int)", ""), (1, "f(int)", "3.cc"), (2, "f(string)", ""), (2, "f(string)", "4.cc"), (5, "g(int)", "")]
