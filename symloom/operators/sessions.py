@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shlex
 
 import pandas as pd
@@ -66,19 +67,37 @@ def gc_due(last_s: int | None, now_s: int) -> bool:
     return last_s is None or now_s - last_s > GC_EVERY_S
 
 
+_SHELL = re.compile(
+    r"""(?P<to>\d*(?:<<<|>>|<<|>&|<&|>\||[<>])|&>>?)|(?P<end>\|\||&&|[|&;()\n])|(?P<word>(?:[^\s"'\\<>|&;()]|\\.|"(?:\\.|[^"\\])*"|'[^']*')+)""", re.S
+)
+
+
+def first_command(cmd: str) -> list[str]:
+    """Words of the first command of a line, without redirects and their targets."""
+    shlex.split(cmd)  # raises where a quote is open
+    out, target = [], False
+    for m in _SHELL.finditer(cmd):
+        if m["end"] and out:
+            break
+        if m["word"] and not target:
+            out.append("".join(shlex.split(m["word"])))
+        target = bool(m["to"])
+    return out
+
+
 def signature_of(cmd: str | None) -> str | None:
     """The program and its first argument that is no flag; assignments before it are skipped. Unparsable commands fall back to blanks."""
     if not cmd or not cmd.strip():
         return None
     try:
-        parts = shlex.split(cmd, comments=False)
+        parts = first_command(cmd)
     except ValueError:
         parts = cmd.split()
     while parts and "=" in parts[0] and parts[0].split("=", 1)[0].isidentifier():
         parts = parts[1:]
     if not parts:
         return None
-    rest = [p for p in parts[1:] if not p.startswith("-") and p not in ("|", "&&", ";", ">", ">>", "<")]
+    rest = [p for p in parts[1:] if not p.startswith("-")]
     return f"{parts[0].rsplit('/', 1)[-1]} {rest[0]}" if rest else parts[0].rsplit("/", 1)[-1]
 
 

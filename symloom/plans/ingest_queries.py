@@ -287,6 +287,13 @@ def e7(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cmd_text", ss.signature("cmd_text").alias("signature"))
 
 
+@query("e7_all_signatures")
+def e7_all(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures of all commands: redirects, paths, quotes and assignments too, which the SQL twin of e7_signatures cannot follow."""
+    c = table(spark, d, "commands").where("cmd_text is not null").select("cmd_text").distinct()
+    return c.select("cmd_text", ss.signature("cmd_text").alias("signature"))
+
+
 BURSTS = """with x as (select user_id "key", ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hour then 0 else 1 end brk from events),
 g as (select *, sum(brk) over (partition by "key" order by ts rows unbounded preceding) g from x)
 select "key", min(ts) "start", max(ts) "end", count(*) n from g group by "key", g"""

@@ -107,3 +107,17 @@ def test_unknown_package_name_matches_nothing(spark):
     packages = spark.createDataFrame([(1, "p")], "id long, name string")
     assert tr.Narrow(packages=("nope",)).apply(nodes, packages).count() == 0
     assert tr.Narrow(packages=("nope", "p")).apply(nodes, packages).count() == 1
+
+
+def test_signatures_of_redirected_piped_and_quoted_commands(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    cases = {
+        "lintall test --pkg x > out/y.log": "lintall test", "ls > out.log": "ls", "ls 2>err.log src": "ls src", "ls | grep x": "ls", "make -j;git status": "make", "B='a b' run \"my file\" >>log": "run my file",
+        "cargo build --all": "cargo build", "(cd src && ls)": "cd src", "echo \">\" x": "echo >", "git": "git", "./tools/run.sh -v a/b": "run.sh a/b",
+    }
+    assert {k: ss.signature_of(k) for k in cases} == cases
+    rows = [(k,) for k in cases] + [(None,), ("git",)]
+    spark.createDataFrame(rows, "cmd_text string").write.parquet(f"{tmp_path}/commands.parquet")
+    got = entry.queries()["e7_all_signatures"](spark, str(tmp_path)).collect()
+    assert len(got) == len(cases) and {r.cmd_text: r.signature for r in got} == cases
