@@ -142,3 +142,22 @@ def closure(links: DataFrame, scratch: Scratch, most_rounds: int = 64) -> DataFr
             break
         size = grown
     return reach
+
+
+def predecessors(findings: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, predecessor: everything that a finding's parent_ids lead to; ids other than fnd_ ones are leaves.
+
+    A finding on a cycle comes to itself, as in the store.
+    """
+    links = findings.select(F.col("id").alias("src"), F.explode("parent_ids").alias("dst")).where("src is not null and dst is not null").distinct()
+    within = F.col("src").startswith("fnd_")
+    reach = closure(links.where(within), scratch)
+    first = links.where(~within)  # no path leads on through these, but one may begin there
+    beyond = first.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+    return reach.unionByName(first).unionByName(beyond).distinct().select(F.col("src").alias("id"), F.col("dst").alias("predecessor"))
+
+
+def successors(findings: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, successor: the findings that derive from a finding or a code node, itself left out."""
+    links = findings.select(F.explode("parent_ids").alias("src"), F.col("id").alias("dst"))
+    return closure(links, scratch).where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("successor"))

@@ -10,9 +10,10 @@ from symloom.functions.porter import porter
 from symloom.operators import findings as fd
 from symloom.operators import reports as rp
 from symloom.operators import search as se
+from symloom.operators import traversal as tr
 from symloom.plans import query
 from symloom.plans.projection import CTES, graph
-from symloom.runtime import table
+from symloom.runtime import Scratch, table
 
 TERMS = [(1, "processOrder12"), (2, "supplierapi"), (3, "nation_1"), (4, "ring"), (5, "ap"), (6, "small"), (7, "red box"), (8, "Customer10"), (9, "zzz"), (10, "order")]
 VALUES = ", ".join(f"({i}::bigint, '{q}')" for i, q in TERMS)
@@ -328,6 +329,21 @@ def n7(spark: SparkSession, d: str) -> DataFrame:
     return fd.store_findings(f.where("rn % 4 = 1"), f.where("rn % 2 = 0"))[1]
 
 
+PARENTS = FINDINGS.replace("with d as", "with recursive d as", 1) + ", pl as (select distinct id, p from (select id, unnest(parent_ids) p from fi)), "
+
+
+@query("g13_find_predecessors", PARENTS + "pc as (select id, p from pl union select pc.id, pl.p from pc join pl on pl.id = pc.p where starts_with(pc.p, 'fnd_')) select id, p predecessor from pc")
+def g13_predecessors(spark: SparkSession, d: str) -> DataFrame:
+    """Where every finding comes from, over all findings."""
+    return tr.predecessors(_findings(spark, d), Scratch(spark, "predecessors"))
+
+
+@query("g13_find_successors", PARENTS + "pc as (select p, id from pl union select pc.p, pl.id from pc join pl on pl.p = pc.id) select p id, id successor from pc where p <> id")
+def g13_successors(spark: SparkSession, d: str) -> DataFrame:
+    """What derives from every finding and code node, over all findings."""
+    return tr.successors(_findings(spark, d), Scratch(spark, "successors"))
+
+
 @query("l11_search_findings", FINDINGS + DQ + ", src as (select id, \"text\" from lv where \"text\" is not null), " + words_sql("src", "dq", "w") + " select qid, id, round(score, 6) score from wsc")
 def l11(spark: SparkSession, d: str) -> DataFrame:
     rows = fd.live(_findings(spark, d)).where("text is not null").select("id", "text")

@@ -121,3 +121,30 @@ def test_signatures_of_redirected_piped_and_quoted_commands(spark, tmp_path):
     spark.createDataFrame(rows, "cmd_text string").write.parquet(f"{tmp_path}/commands.parquet")
     got = entry.queries()["e7_all_signatures"](spark, str(tmp_path)).collect()
     assert len(got) == len(cases) and {r.cmd_text: r.signature for r in got} == cases
+
+
+def test_provenance_over_findings_with_a_cycle(spark):
+    parents = {"fnd_1": ["code:a"], "fnd_2": ["fnd_1", "code:b"], "fnd_3": ["fnd_2", None], "fnd_4": ["fnd_5"], "fnd_5": ["fnd_4", "fnd_gone"], "fnd_6": None, "code:b": ["code:c"]}
+    f = spark.createDataFrame(list(parents.items()), "id string, parent_ids array<string>")
+
+    def before(start):
+        seen, todo = set(), list(parents[start] or [])
+        while todo:
+            x = todo.pop()
+            if x and x not in seen:
+                seen.add(x)
+                todo += (parents.get(x) or []) if x.startswith("fnd_") else []
+        return seen
+
+    def after(start):
+        reached, size = {start}, 0
+        while len(reached) > size:
+            size = len(reached)
+            reached |= {i for i, ps in parents.items() if reached & set(ps or [])}
+        return reached - {start}
+
+    got = sorted(map(tuple, tr.predecessors(f, Scratch(spark, "p")).collect()))
+    assert got == sorted((i, x) for i in parents for x in before(i))
+    assert ("fnd_3", "code:a") in got and ("fnd_3", "code:c") not in got
+    starts = {*parents, "code:a", "code:c", "fnd_gone"}
+    assert sorted(map(tuple, tr.successors(f, Scratch(spark, "s")).collect())) == sorted((i, x) for i in starts for x in after(i))
