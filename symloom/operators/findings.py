@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.runtime import Scratch
+
 CLAIMS = ("bug", "deferred", "gotcha", "fixed", "usability")
 DIRECTIVES = ("directive", "guide")
 HALF_LIFE_S = 30 * 86_400
@@ -55,18 +61,104 @@ def fold_anchors(events: DataFrame) -> DataFrame:
     )
 
 
+FOLDED = "finding_id string, anchor string, attach_count long, recency timestamp, sha string, origin_sha string, outcome string, verified_sha string"
+
+
+def fold_log(events: DataFrame) -> DataFrame:
+    """As :func:`fold_anchors` for whole logs, renames included, with the results of the store's fold in order of seq.
+
+    An entry that a verify creates has its ts as recency. Anchors that no rename of their finding names are
+    aggregated; the others are folded in order, one finding after another, holding the anchors of one finding only.
+    """
+    moves = events.where("op = 'rename'")
+    named = moves.select("finding_id", F.col("from").alias("anchor")).union(moves.select("finding_id", "to")).distinct()
+    still = events.where("op <> 'rename'")
+    plain = _fold_unmoved(still.join(named, ["finding_id", "anchor"], "left_anti"))
+    cols = ["finding_id", "seq", "op", "anchor", "from", "to", "ts", "sha", "outcome"]
+    rest = still.join(named, ["finding_id", "anchor"], "left_semi").select(*cols).unionByName(moves.select(*cols))
+    return plain.unionByName(rest.repartition("finding_id").sortWithinPartitions("finding_id", "seq").mapInArrow(_fold_sorted, FOLDED))
+
+
+def _fold_unmoved(events: DataFrame) -> DataFrame:
+    last_off = events.where("op = 'detach'").groupBy("finding_id", "anchor").agg(F.max("seq").alias("off"))
+    e = events.where("op in ('attach', 'verify')").join(last_off, ["finding_id", "anchor"], "left").where("off is null or seq > off")
+    att = F.col("op") == "attach"
+    g = e.groupBy("finding_id", "anchor").agg(
+        F.sum(att.cast("long")).alias("attach_count"), F.max(F.when(att, F.col("ts"))).alias("newest"), F.min_by(F.when(~att, F.col("ts")), "seq").alias("base"),
+        F.max_by("sha", F.when(att, F.struct("ts", "seq"))).alias("newest_sha"), F.min_by("sha", F.when(att & F.col("sha").isNotNull(), F.col("seq"))).alias("origin_sha"),
+        F.max_by("outcome", F.when(~att, F.col("seq"))).alias("outcome"), F.max_by("sha", F.when(~att, F.col("seq"))).alias("verified_sha"),
+    )
+    sha = F.when(F.col("base").isNull() | (F.col("newest") >= F.col("base")), F.col("newest_sha"))  # an attach older than the entry leaves no sha
+    return g.select("finding_id", "anchor", "attach_count", F.greatest("newest", "base").alias("recency"), sha.alias("sha"), "origin_sha", "outcome", "verified_sha")
+
+
+def _reaches(ts: datetime | None, recency: datetime | None) -> bool:
+    """Null is the oldest."""
+    return recency is None or (ts is not None and ts >= recency)
+
+
+def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(n, pa.timestamp("us", "UTC") if t == "timestamp" else pa.int64() if t == "long" else pa.string()) for n, t in (c.split(" ") for c in FOLDED.split(", "))])
+    finding, state, out = None, {}, []
+
+    def flush() -> None:
+        out.extend({"finding_id": finding, "anchor": a} | e for a, e in state.items())
+        state.clear()
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["finding_id"] != finding:
+                flush()
+                finding = r["finding_id"]
+            op, ts = r["op"], r["ts"]
+            if op == "detach":
+                state.pop(r["anchor"], None)
+            elif op == "rename":
+                moved = state.pop(r["from"], None)
+                if moved is None:
+                    continue
+                old = state.get(r["to"])
+                if old is None:
+                    state[r["to"]] = moved
+                    continue
+                count = old["attach_count"] + moved["attach_count"]
+                state[r["to"]] = (moved if _reaches(moved["recency"], old["recency"]) else old) | {"attach_count": count}
+            else:
+                e = state.setdefault(r["anchor"], {"attach_count": 0, "recency": ts, "sha": None, "origin_sha": None, "outcome": None, "verified_sha": None})
+                if op == "verify":
+                    e["verified_sha"], e["outcome"] = r["sha"], r["outcome"]
+                    continue
+                if _reaches(ts, e["recency"]):
+                    e["sha"], e["recency"] = r["sha"], ts
+                e["attach_count"] += 1
+                e["origin_sha"] = r["sha"] if e["origin_sha"] is None else e["origin_sha"]
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out.clear()
+    flush()
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
 def resolve_renames(events: DataFrame, rounds: int = 16) -> DataFrame:
     """The log with every event under the name its anchor has in the end: renames carry the past along.
 
-    A rename moves the events before it; chains are followed one hop a round, at most ``rounds`` hops.
+    A rename moves the events before it; chains are followed one hop a round. After ``rounds`` hops the log is
+    written, and hops go on until no event moves.
     """
     moves = events.where("op = 'rename'").select(F.col("finding_id").alias("m_finding"), F.col("from").alias("m_from"), F.col("to").alias("m_to"), F.col("seq").alias("m_seq"))
     out = events.where("op <> 'rename'").withColumn("moved", F.lit(0).cast("long"))
-    for _ in range(rounds):
-        j = out.join(moves, (F.col("finding_id") == F.col("m_finding")) & (F.col("anchor") == F.col("m_from")) & (F.col("m_seq") > F.greatest("seq", "moved")), "left")
-        w = Window.partitionBy("finding_id", "seq").orderBy(F.col("m_seq").asc_nulls_last())
-        j = j.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-        out = j.select(*[F.coalesce("m_to", "anchor").alias("anchor") if c == "anchor" else F.coalesce("m_seq", "moved").alias("moved") if c == "moved" else c for c in out.columns])
+    due = (F.col("finding_id") == F.col("m_finding")) & (F.col("anchor") == F.col("m_from")) & (F.col("m_seq") > F.greatest("seq", "moved"))
+    scratch = Scratch(events.sparkSession, "renames")
+    while True:
+        for _ in range(rounds):
+            j = out.join(moves, due, "left")
+            w = Window.partitionBy("finding_id", "seq").orderBy(F.col("m_seq").asc_nulls_last())
+            j = j.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+            out = j.select(*[F.coalesce("m_to", "anchor").alias("anchor") if c == "anchor" else F.coalesce("m_seq", "moved").alias("moved") if c == "moved" else c for c in out.columns])
+        out = scratch.save(out)
+        if out.join(moves, due, "left_semi").isEmpty():
+            break
     return out.drop("moved")
 
 

@@ -279,6 +279,20 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """Events of all findings, renames included: every seventh moves the anchor of the event before it, moved ones too."""
+    s = table(spark, d, "session_files").where("id is not null and path is not null").groupBy("id").agg(F.max_by("path", "loaded_at").alias("path"), F.max("t").alias("t"))
+    f = _findings(spark, d).select(F.col("id").alias("finding_id"), "rn")
+    s = s.crossJoin(F.broadcast(f.agg(F.count(F.lit(1)).alias("n")))).where("n > 0")  # one row
+    s = s.join(f, F.col("rn") == 1 + F.col("id") % F.col("n"))
+    s = s.withColumn("name", F.expr("if(id % 7 = 3, concat(regexp_replace(path, '[^/]*$', ''), 'm', id % 3), path)"))
+    s = s.withColumn("last", F.expr("lag(name) over (partition by finding_id order by id)"))
+    return s.selectExpr(
+        "finding_id", "id seq", "case when id % 7 = 3 then 'rename' when id % 13 = 0 then 'detach' when id % 6 = 0 then 'verify' else 'attach' end op", "case when id % 7 <> 3 then name end anchor",
+        "case when id % 7 = 3 then last end `from`", "case when id % 7 = 3 then name end `to`", "t ts", "concat('sha', id % 4) sha", "case when id % 12 = 0 then 'no_longer_true' else 'still_true' end outcome",
+    )
+
+
 @query("n1_lifecycle", FINDINGS + " select * from lc")
 def n1(spark: SparkSession, d: str) -> DataFrame:
     return fd.lifecycle(_findings(spark, d))
@@ -299,6 +313,12 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
     return fd.fold_anchors(_events(spark, d))
 
 
+@query("n4_full_fold")
+def n4_full(spark: SparkSession, d: str) -> DataFrame:
+    """Logs with renames, over all findings."""
+    return fd.fold_log(_log(spark, d))
+
+
 @query("n5_seed_successors", FINDINGS + " select t.id finding_id, fa.anchor, fa.recency ts, fa.sha from (select id, substring(tag, 12) was from (select id, unnest(tags) tag from fi) where starts_with(tag, 'supersedes:')) t join fa on fa.finding_id = t.was")
 def n5(spark: SparkSession, d: str) -> DataFrame:
     return fd.seed_successors(_findings(spark, d), fd.fold_anchors(_events(spark, d)))

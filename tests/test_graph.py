@@ -148,3 +148,46 @@ def test_provenance_over_findings_with_a_cycle(spark):
     assert ("fnd_3", "code:a") in got and ("fnd_3", "code:c") not in got
     starts = {*parents, "code:a", "code:c", "fnd_gone"}
     assert sorted(map(tuple, tr.successors(f, Scratch(spark, "s")).collect())) == sorted((i, x) for i in starts for x in after(i))
+
+
+def fold_in_order(events):
+    state = {}
+    for f, _, op, a, old, new, ts, sha, outcome in sorted(events, key=lambda e: e[:2]):
+        s = state.setdefault(f, {})
+        if op == "attach":
+            e = s.setdefault(a, [0, ts, None, None, None, None])
+            e[2] = sha if ts >= e[1] else e[2]
+            e[0], e[1], e[3] = e[0] + 1, max(ts, e[1]), e[3] or sha
+        elif op == "verify":
+            s.setdefault(a, [0, ts, None, None, None, None])[4:] = [outcome, sha]
+        elif op == "detach":
+            s.pop(a, None)
+        elif old in s:
+            e = s.pop(old)
+            if new in s:
+                n = e[0] + s[new][0]
+                e = [n, *(e if e[1] >= s[new][1] else s[new])[1:]]
+            s[new] = e
+    return sorted((f, a, *e) for f, s in state.items() for a, e in s.items())
+
+
+LOG = "finding_id string, seq long, op string, anchor string, `from` string, `to` string, ts timestamp, sha string, outcome string"
+
+
+def test_whole_logs_fold_as_in_order(spark):
+    import random
+
+    rng = random.Random(4)
+    day = lambda: dt.datetime(2025, 1, 1) + dt.timedelta(days=rng.randrange(60))
+    rows = []
+    for i in range(600):
+        op = rng.choice(("attach", "attach", "verify", "detach", "rename"))
+        f, paths = f"f{rng.randrange(5)}", "abcd" if op == "rename" else "abcdefgh"
+        a, b = rng.sample(paths, 2)
+        rows.append((f, i, op, *((None, a, b) if op == "rename" else (a, None, None)), day(), rng.choice(("s1", "s2", "s3")), rng.choice(("x", "y"))))
+    # a chain of 20 renames, longer than one round of resolve_renames
+    rows += [("g", 0, "attach", "p0", None, None, day(), "s1", None)] + [("g", i + 1, "rename", None, f"p{i}", f"p{i + 1}", day(), None, None) for i in range(20)]
+    ev = spark.createDataFrame(rows, LOG)
+    got = fd.fold_log(ev).select("finding_id", "anchor", "attach_count", "recency", "sha", "origin_sha", "outcome", "verified_sha")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(fold_in_order(rows), key=str)
+    assert [r.anchor for r in fd.resolve_renames(ev.where("finding_id = 'g'")).collect()] == ["p20"]
