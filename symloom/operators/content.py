@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symloom.functions import parsers as ps
 from symloom.functions.identifiers import basename, dirname, join_path
+from symloom.runtime import Scratch
 
 SQL_WORDS = r"(?i)\b(select|insert|update|delete|create|alter|drop|merge|with)\b"
 SQL_LEAST = 12
@@ -121,9 +122,14 @@ def element_ids(elements: DataFrame) -> DataFrame:
     """key, ordinal, owner: the nearest element with an id at or above each element (-1: the document), by doubling."""
     e = elements.select("key", "ordinal", "parent", "id")
     cur = e.select("key", "ordinal", F.when(F.col("id").isNotNull(), F.col("ordinal")).alias("owner"), F.when(F.col("id").isNull(), F.col("parent")).alias("up"))
-    for _ in range(6):  # 2 ** 6 levels of nesting
-        b = cur.select("key", F.col("ordinal").alias("up"), F.col("owner").alias("o"), F.col("up").alias("u"))
-        cur = cur.join(b, ["key", "up"], "left").select("key", "ordinal", F.coalesce("owner", "o").alias("owner"), "u").withColumnRenamed("u", "up")
+    scratch = Scratch(elements.sparkSession, "elements")
+    while True:
+        for _ in range(6):  # 2 ** 6 levels of nesting, enough for most
+            b = cur.select("key", F.col("ordinal").alias("up"), F.col("owner").alias("o"), F.col("up").alias("u"))
+            cur = cur.join(b, ["key", "up"], "left").select("key", "ordinal", F.coalesce("owner", "o").alias("owner"), "u").withColumnRenamed("u", "up")
+        cur = scratch.save(cur)
+        if cur.where("owner is null and up is not null").isEmpty():
+            break
     return cur.select("key", "ordinal", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 

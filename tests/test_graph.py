@@ -191,3 +191,11 @@ def test_whole_logs_fold_as_in_order(spark):
     got = fd.fold_log(ev).select("finding_id", "anchor", "attach_count", "recency", "sha", "origin_sha", "outcome", "verified_sha")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(fold_in_order(rows), key=str)
     assert [r.anchor for r in fd.resolve_renames(ev.where("finding_id = 'g'")).collect()] == ["p20"]
+
+
+def test_owner_far_above_an_element(spark):
+    from symloom.operators import content as co
+
+    rows = [("d", i, i - 1 if i else None, "top" if i == 0 else None) for i in range(150)] + [("e", i, i - 1 if i else None, None) for i in range(100)]
+    got = co.element_ids(spark.createDataFrame(rows, "key string, ordinal int, parent int, id string")).collect()
+    assert len(got) == 250 and {(r.key, r.owner) for r in got} == {("d", 0), ("e", -1)}
