@@ -2,13 +2,20 @@
 
 Each partition packs its items by best fit, largest first, and emits the bins that are nearly full.
 The other bins travel on as items to fewer partitions, where they are packed again, up a tree of
-merges. The last merges keep as many tasks as the residual bins need, so no task is ever unbounded.
+merges that ends in one partition.
+
+No task of the tree is unbounded, though no bin is withheld that could still be used. Best fit leaves
+at most one bin of a partition that is half full or less, and only such a bin can be put into another
+one. So where ``MERGE`` partitions meet, at most ``MERGE`` small bins look for room, and of the bins
+of one size more than ``MERGE`` can never be needed: the others are final. A merge therefore takes at
+most ``MERGE * MERGE`` bins of each size, whatever the number of items.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +28,7 @@ from symloom.runtime import Scratch
 CAPACITY = 2_048
 NEARLY_FULL = 0.995
 MERGE = 4  # partitions merged into one, a round
-TASK_ITEMS = 100_000  # items and residual bins one task packs at most
+TASK_ITEMS = 100_000  # items packed by one task before the merges, about
 
 
 @lru_cache(maxsize=2)
@@ -84,44 +91,41 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, tasks: in
 
     ``bin_id`` is the smallest "doc_id:piece" of the bin, so it does not depend on the order of work.
     """
-    schema = "size int, home long, members array<struct<doc_id:bigint,piece:int,start:bigint,n:int>>"
+    schema = "node int, size int, home long, travels boolean, members array<struct<doc_id:bigint,piece:int,start:bigint,n:int>>"
+    names = ["node", "size", "home", "travels", "members"]
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n", pa.int32())]))
+    full = math.floor(capacity * NEARLY_FULL)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]  # at most about TASK_ITEMS rows
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]  # one node's rows: bounded, see above
         if not rows:
             return
-        rows.sort(key=lambda r: (-r[0], r[1], r[2][0]["piece"]))
-        out = []
-        for b in best_fit([r[0] for r in rows], capacity):
-            members = [m for i in b for m in rows[i][2]]
-            out.append((sum(rows[i][0] for i in b), min(rows[i][1] for i in b), members))
+        node = rows[0][0]
+        rows.sort(key=lambda r: (-r[1], r[2], r[3][0]["piece"]))
+        out, same = [], Counter()
+        for b in best_fit([r[1] for r in rows], capacity):
+            size = sum(rows[i][1] for i in b)
+            same[size] += 1
+            out.append((node // MERGE, size, min(rows[i][2] for i in b), size < full and same[size] <= MERGE, [m for i in b for m in rows[i][3]]))
         for at in range(0, len(out), 10_000):
-            size, home, members = zip(*out[at : at + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(home, pa.int64()), pa.array(members, kind)], ["size", "home", "members"])
+            cols = zip(*out[at : at + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), kind))], names)
 
     items = scratch.save(items, "pieces")
-    rows = items.select(F.col("n").alias("size"), F.col("doc_id").alias("home"), F.array(F.struct("doc_id", "piece", "start", "n")).alias("members"))
     parts = max(tasks, math.ceil(items.count() / TASK_ITEMS))
+    node = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
+    rows = items.select(node.alias("node"), F.col("n").alias("size"), F.col("doc_id").alias("home"), F.array(F.struct("doc_id", "piece", "start", "n")).alias("members"))
     done = []
     while True:
-        where = F.pmod(F.xxhash64("home", F.element_at("members", 1).piece), F.lit(parts)).cast("int")
-        packed = scratch.save(rows.repartition(parts, where).mapInArrow(pool, schema), "bins")
+        packed = scratch.save(rows.repartitionById(parts, F.col("node")).mapInArrow(pool, schema), "bins")
         if parts == 1:
             done.append(packed)
             break
-        full = F.col("size") >= math.floor(capacity * NEARLY_FULL)
-        done.append(packed.where(full))
-        rows = packed.where(~full)
-        fewer = max(1, parts // MERGE, math.ceil(rows.count() / TASK_ITEMS))
-        if fewer >= parts:  # the tree is as narrow as bounded tasks allow
-            done.append(rows)
-            break
-        parts = fewer
+        done.append(packed.where("not travels"))
+        rows, parts = packed.where("travels").drop("travels"), math.ceil(parts / MERGE)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    names = F.transform("members", lambda m: F.struct(m.doc_id, m.piece))
-    lowest = F.array_min(names)
+    lowest = F.array_min(F.transform("members", lambda m: F.struct(m.doc_id, m.piece)))
     bin_id = F.concat_ws(":", lowest.doc_id, lowest.piece)
     return out.select("size", bin_id.alias("bin_id"), F.explode("members").alias("m")).select("m.*", "bin_id", F.col("size").alias("fill"))
