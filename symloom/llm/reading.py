@@ -3,7 +3,8 @@
 Features of syntax (sentence and clause lengths, subordination, passives) and of vocabulary (word
 lengths, syllables, derived nouns and verbs, and a lexicon of word grades learned from the labelled
 texts). The ranker learns from pairs of differently graded texts; pooling adjacent violators turns
-its scores into levels. The model is a few thousand numbers and is sent to the executors.
+its scores into levels. The steps are fitted on scores of texts the ranker has not seen. The model
+holds a number for each distinct word of the labelled texts and is sent to the executors.
 """
 
 from __future__ import annotations
@@ -21,10 +22,9 @@ from pyspark.sql import functions as F
 from symloom.llm.words import words
 
 MAX_LABELLED = 6_000  # labelled texts the model is fitted on: those with the smallest hash of their id
-MAX_LEXICON = 50_000  # words with a learned grade: those found in most labelled texts
-MAX_PAIRS = 400_000  # graded pairs the ranker is fitted on
 FOLDS = 5
-SEED = 7
+RIDGE = 1e-3  # weight of the squared weights against the mean loss of a pair
+PAIR_ROWS = 512  # texts paired with all others in one step of the exact sums
 
 _SENTENCE = re.compile(r"[.?!;:](?=\s|$)|\n\s*\n")
 # Endings of derived nouns and verbs; words that open clauses.
@@ -124,8 +124,7 @@ def fit_lexicon(bags: list[set[bytes]], y: np.ndarray, weight: float = 2.0) -> t
             t = total.setdefault(x, [0.0, 0.0])
             t[0] += level
             t[1] += 1
-    common = sorted(total.items(), key=lambda kv: (-kv[1][1], kv[0]))[:MAX_LEXICON]
-    return {x: (s + weight * middle) / (n + weight) for x, (s, n) in common}, middle
+    return {x: (s + weight * middle) / (n + weight) for x, (s, n) in total.items()}, middle
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,48 +139,88 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def fit_ranker(z: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression on feature differences of pairs with different grades, by Newton steps."""
-    rng = np.random.default_rng(SEED)
-    n = len(y)
-    if n * n <= MAX_PAIRS:
-        a, b = (g.ravel() for g in np.meshgrid(np.arange(n), np.arange(n)))
-    else:
-        a, b = rng.integers(0, n, MAX_PAIRS), rng.integers(0, n, MAX_PAIRS)
-    keep = y[a] > y[b]
-    d = z[a[keep]] - z[b[keep]]
-    w = np.zeros(z.shape[1])
-    if not len(d):
-        return w
-    for _ in range(15):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        gradient = d.T @ (1 - p) - ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d + (ridge + 1e-3 * len(d)) * np.eye(len(w))
-        w = w + np.linalg.solve(hessian, gradient)
+def pair_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, gradient and curvature of the logistic loss over all pairs with different grades.
+
+    A pair's difference is never formed: with p the matrix of the pairs' chances, the gradient is the
+    rows' sums of 1 - p on the higher texts less those on the lower ones, and the curvature needs the
+    sums of p (1 - p) and one product with it. A block of rows of one grade is in memory at a time.
+    """
+    order = np.argsort(y, kind="stable")
+    z, y = z[order].astype(np.float32), y[order]
+    grown = np.exp(np.clip(z @ w.astype(np.float32), -40, 40))
+    n, k = 0, z.shape[1]
+    up, down = np.zeros(len(y)), np.zeros(len(y))  # sums of the misses of each text as the higher and the lower one
+    turn, cross = np.zeros(len(y)), np.zeros((k, k))
+    starts = np.searchsorted(y, y)  # the texts before it have lower grades
+    at = 0
+    while at < len(y):
+        lower = starts[at]
+        end = min(at + PAIR_ROWS, int(np.searchsorted(y, y[at], "right")))
+        if lower:
+            miss = 1 / (1 + grown[at:end, None] / grown[None, :lower])
+            up[at:end] += miss.sum(axis=1)
+            down[:lower] += miss.sum(axis=0)
+            miss -= miss * miss
+            turn[at:end] += miss.sum(axis=1)
+            turn[:lower] += miss.sum(axis=0)
+            cross += z[at:end].T @ (miss @ z[:lower])
+            n += (end - at) * int(lower)
+        at = end
+    return n, z.T @ (up - down), (z * turn[:, None]).T @ z - cross - cross.T
+
+
+def fit_ranker(z: np.ndarray, y: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression on the feature differences of all pairs with different grades, by Newton steps."""
+    w = np.zeros(z.shape[1]) if start is None else start
+    for _ in range(30):
+        n, gradient, curve = pair_sums(z, y, w)
+        if not n:
+            return w
+        step = np.linalg.solve(curve / n + RIDGE * np.eye(len(w)), gradient / n - RIDGE * w)
+        w = w + step / max(1.0, float(np.abs(step).max()))  # no step is longer than one in any weight
+        if np.abs(step).max() < 1e-3:
+            break
     return w
 
 
 def fit(texts: list[str], y: list[float]) -> Model:
-    """The model of labelled texts. The lexicon feature of a text comes from the other folds' labels."""
+    """The model of labelled texts.
+
+    The lexicon feature of a text comes from the other folds' labels, and so does the ranker whose scores
+    the isotonic steps are fitted on.
+    """
     y = np.array(y, dtype=float)
     table = WordTable()
     parsed = [surface(t, table) for t in texts]
     bags = [set(w) for w, _ in parsed]
     x = np.array([f for _, f in parsed])
     fold = np.arange(len(y)) % FOLDS
-    for k in range(FOLDS):
-        if (fold != k).any():
-            lexicon, middle = fit_lexicon([b for b, f in zip(bags, fold) if f != k], y[fold != k])
-            for i in np.flatnonzero(fold == k):
-                x[i, 9] = grade(parsed[i][0], lexicon, middle)
+    folds = [k for k in range(FOLDS) if (fold == k).any() and (fold != k).any()]
+    for k in folds:
+        lexicon, middle = fit_lexicon([b for b, f in zip(bags, fold) if f != k], y[fold != k])
+        for i in np.flatnonzero(fold == k):
+            x[i, 9] = grade(parsed[i][0], lexicon, middle)
     lexicon, middle = fit_lexicon(bags, y)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weights = fit_ranker((x - mean) / scale, y)
+    z = (x - mean) / scale
+    weights, unseen = fit_ranker(z, y), np.zeros(len(y))
+    for k in folds:
+        unseen[fold == k] = z[fold == k] @ fit_ranker(z[fold != k], y[fold != k], weights)
     model = Model(lexicon, middle, mean, scale, weights, np.zeros(1), np.zeros(1))
-    model.knots, model.levels = isotonic(model.scores(list(x)), y)
+    model.knots, model.levels = isotonic(unseen, y)
     return model
 
 
+def cross_validated(texts: list[str], y: list[float], folds: int = 5) -> np.ndarray:
+    """Levels of labelled texts, each by a model that has not seen the text or its label."""
+    out, fold = np.zeros(len(y)), np.arange(len(y)) % folds
+    for k in range(folds):
+        model = fit([t for t, f in zip(texts, fold) if f != k], [v for v, f in zip(y, fold) if f != k])
+        out[fold == k] = model.level([t for t, f in zip(texts, fold) if f == k])
+    return out
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, level: the mean over raters of each labelled document, at most ``MAX_LABELLED`` of them.
 
@@ -203,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def levels(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, level (1 to 5, a fraction) of documents (doc_id, text). Null and blank texts have no level and no row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LEXICON and MAX_LABELLED
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of MAX_LABELLED texts
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
+import pytest
 
 from symloom.llm import reading
 
+DATA = "/root/testdata/sf0.1"
 EASY = "the dog runs. we see a cat. it is red. you go home. the sun is hot.".split(". ")
 HARD = "the characterisation of heterogeneous implementations, which necessitates considerable generalisation, remains inconsistent; the corresponding interpretation is approximated by subsequent investigations.".split("; ")
 
@@ -31,6 +34,35 @@ def test_held_out_accuracy():
     assert order[0] < order[1] < order[2]
 
 
+def test_sums_over_all_pairs():
+    rng = np.random.default_rng(3)
+    z, y, w = rng.normal(size=(70, 4)), rng.integers(1, 6, 70).astype(float), rng.normal(size=4)
+    reading.PAIR_ROWS, was = 16, reading.PAIR_ROWS
+    try:
+        n, gradient, curve = reading.pair_sums(z, y, w)
+    finally:
+        reading.PAIR_ROWS = was
+    a, b = (v.ravel() for v in np.meshgrid(np.arange(70), np.arange(70)))
+    keep = y[a] > y[b]
+    d = z[a[keep]] - z[b[keep]]
+    p = 1 / (1 + np.exp(-d @ w))
+    assert n == len(d)
+    assert np.allclose(gradient, d.T @ (1 - p), rtol=1e-3, atol=1e-2)
+    assert np.allclose(curve, (d * (p * (1 - p))[:, None]).T @ d, rtol=1e-3, atol=1e-2)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_cross_validated_on_given_labels(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "level_labels"))
+    rows = sorted(tuple(r) for r in reading.labelled_texts(docs, labels).collect())
+    got = reading.cross_validated([t for _, t, _ in rows], [y for _, _, y in rows])
+    truth = np.array([y for _, _, y in rows]) >= 3.5
+    hits = ((got >= 3.5) & truth).sum()
+    precision, recall = hits / (got >= 3.5).sum(), hits / truth.sum()
+    print(f"p10 cross-validated on {len(rows)} labelled texts: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision > 0.9 and recall > 0.85
+
+
 def test_isotonic_rises():
     x = np.arange(50.0)
     y = np.sin(x) + x / 10
