@@ -121,13 +121,16 @@ class Scratch:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Enough partitions for the cores before a stage of Python work: a table that came as one piece is spread.
+    """Enough partitions for the cores before a stage of Python work: a small table is dealt out evenly.
 
-    A table of many splits, as any large one, stays where it is and is not shuffled.
+    Small files come as few pieces however many cores there are. Goes by the size the plan states, so nothing
+    runs here; a table that fills a split for every core stays where it is and is not shuffled. Rows are the same.
     """
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if 2 * splits <= cores else df
+    spark = df.sparkSession
+    stated = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if stated < cores * split else df
 
 
 def id_or_null(c: Column) -> Column:
