@@ -3,9 +3,10 @@
 A qualified symbol table (id, qualified name, name, kind) is built over all files; every documented
 declaration is reduced to a normalised signature (name and parameter types) and joined through the
 qualified name with the definitions, which may stand in other files. An overload is told by its
-signature; a documentation row without a declaration speaks for all overloads of its symbol. What is
-left of a comment after delimiters, notices, directives, pointers and code are taken out is kept if
-it has a word that neither the name nor the declaration nor a word list of empty phrases has.
+signature; a documentation row without a declaration speaks for all overloads of its symbol. The
+filter comes last: what is left of a comment after delimiters, notices, directives, pointers and code
+are taken out is kept if it has a word that neither the name nor the declaration nor a word list of
+empty phrases has.
 """
 
 from __future__ import annotations
@@ -55,6 +56,11 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 POINTER = re.compile(r"^\W*(?:see(?: also)?|refer to|cf|inherited from|inherits from|same as|overrides|implements|defined in|documented in)\b[^.!?]*(?:\.\w[^.!?]*)*[.!?]?\s*$", re.I)
+# Words by which a sentence gives a reason, a condition or a limit and so tells more than where to look.
+REASON = re.compile(r"\b(?:so|because|why|when(?:ever)?|if|unless|until|till|while|since|before|after|once|but|otherwise|instead|except|only|never|always|must|cannot|not)\b", re.I)
+# Words that mark a text as one still to be written, and those that may stand beside them.
+FILLER = frozenset("placeholder todo fixme tbd wip bla blah lorem ipsum foo bar baz dummy".split())
+BESIDE_FILLER = frozenset("text later replace fill write add describe me here now soon please some more goes real actual content words sentence doc docs dolor sit amet".split())
 CODE = re.compile(
     r"[;{}]\s*$|^\s*(?:let|var|const|return|import|from|use|using|package|else|elif)\b.*[=;(){}]|^\s*(?:if|for|while|switch|match)\s*\(.*\)\s*\{?\s*$|^\s*\w+(?:[.:]{1,2}\w+)*\s*(?:[-+*/]?=)\s*\S.*[;)]\s*$"
     r"|^\s*[\w.:]+\([^()]*\)\s*$|^\s*(?:pub(?:\(\w+\))?\s+|public\s+|private\s+|protected\s+|internal\s+|static\s+|export\s+|async\s+|override\s+|virtual\s+)*(?:fn|def|func|function|class|struct|enum|trait|interface|namespace|mod|module|property|field|case|const|constant|variable|type_alias|enum_member)\s+[\w~:.]+\s*(?:[(<:{].*)?$|^\s*#\[.*\]\s*$|^\s*@\w+\s*$|^\s*\[\w+\]\s*$",
@@ -141,7 +147,7 @@ def statements(text: str, declaration: str) -> list[str]:
 
     def flush() -> None:
         for s in _SENTENCE.split(" ".join(part)):
-            if s and not PLACEHOLDER.match(s) and not POINTER.match(s) and not NOTICE.search(s):
+            if s and not PLACEHOLDER.match(s) and not NOTICE.search(s) and not filler(s) and (not POINTER.match(s) or REASON.search(s)):
                 out.append(s)
         part.clear()
 
@@ -194,6 +200,12 @@ def statements(text: str, declaration: str) -> list[str]:
     return out
 
 
+def filler(text: str) -> bool:
+    """Whether a sentence only holds the place of one: a word of filler, and no word that is more."""
+    said = {t.lower() for t in tokens(text)} - EMPTY_WORDS
+    return not said.isdisjoint(FILLER) and said <= FILLER | BESIDE_FILLER
+
+
 def adds(text: str, known: set[str]) -> bool:
     """Whether some word is neither known nor empty."""
     return any(t.lower() not in EMPTY_WORDS and stem(t) not in known for t in tokens(text) if not t.isdigit())
@@ -244,36 +256,46 @@ def documented(symbols: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def function_pairs(symbols: DataFrame, docs: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
-    """sym_id, qualified, norm_sig, declaration, description, path, body_start_line, body_end_line.
-
-    Each documented declaration with the definitions of its qualified name: those of the symbol itself,
-    and of other symbols of that name with the same signature, by all their declarations, undocumented ones
-    included. Where the signature of either is unknown, they are joined if that name has no two signatures.
-    The newest placed definition of a symbol counts; one without any has nulls.
+    """sym_id, qualified, norm_sig, declaration, description, def_id, path, body_start_line, body_end_line, n_definitions.
+
+    Each documented declaration with its definitions. Declarations and definitions meet in classes of one
+    qualified name and one normalised signature, by all declarations of a symbol, undocumented ones included.
+    Where a symbol has no signature, it takes that of its name, if the name has no two of them; with several
+    it belongs to none. A declaration has a row for its own definition, if placed, and one for its class if that
+    is led by another symbol: the leader is the class's newest definition, ``n_definitions`` the class's size,
+    and its members are the symbols of that name and signature, so copies are not expanded into all pairs. A
+    declaration without any placed definition has one row with nulls. The newest placed definition of a symbol counts.
     """
+    scratch = Scratch(docs.sparkSession, "pairs")
     rows = declared(symbols, docs).groupBy("sym_id", "qualified", "norm_sig").agg(F.max(F.struct(F.length("description"), "description", "declaration")).alias("m"))
-    rows = rows.select("sym_id", "qualified", "norm_sig", F.col("m.description").alias("description"), F.col("m.declaration").alias("declaration"))
-    rows = Scratch(docs.sparkSession, "pairs").save(rows)
-    pairs = rows.where("description <> ''")
+    rows = scratch.save(rows.select("sym_id", F.col("qualified").alias("q"), "norm_sig", F.col("m.description").alias("description"), F.col("m.declaration").alias("declaration")))
     placed = defs.where("sym_id is not null and start_line > 0").groupBy("sym_id").agg(
         F.max(F.struct("loaded_at", "file_id", "body_start_line", "body_end_line")).alias("p")
     )
     paths = files.where("id is not null").groupBy("id").agg(F.max(F.struct("loaded_at", "path")).alias("f")).select(F.col("id").alias("fid"), "f.path")
     names = function_table(symbols).select(F.col("sym_id").alias("def_id"), F.col("qualified").alias("q"))
     where = names.join(placed, names.def_id == placed.sym_id).select("def_id", "q", "p.*")
-    where = where.join(paths, where.file_id == paths.fid, "left").select("def_id", "q", "path", "body_start_line", "body_end_line")
-    own = pairs.join(where.drop("q"), pairs.sym_id == where.def_id, "left").drop("def_id")
-    # definitions of another symbol under the same qualified name, by signature
-    sigs = rows.where("norm_sig <> ''").select("sym_id", F.col("qualified").alias("q"), F.col("norm_sig").alias("sig"))
-    of_def = where.select("q", "def_id").join(sigs.select(F.col("sym_id").alias("def_id"), "sig"), "def_id", "left")
-    # a row without a declaration speaks for all signatures of its symbol
-    bare = pairs.where("norm_sig = ''").select("sym_id", "norm_sig", F.col("qualified").alias("q")).join(sigs.drop("q"), "sym_id", "left")
-    of_pair = pairs.where("norm_sig <> ''").select("sym_id", "norm_sig", F.col("qualified").alias("q"), F.col("norm_sig").alias("sig")).unionByName(bare)
-    same = of_pair.join(of_def, ["q", "sig"]).select("sym_id", "norm_sig", "def_id")
-    several = sigs.groupBy("q").agg(F.countDistinct("sig").alias("n")).where("n > 1").select("q")
-    sole_pair, sole_def = of_pair.join(several, "q", "left_anti"), of_def.join(several, "q", "left_anti")
-    told, known = sole_pair.withColumnRenamed("sig", "a"), sole_def.withColumnRenamed("sig", "b")
-    alone = told.join(known, "q").where("a is null or b is null").select("sym_id", "norm_sig", "def_id")
-    links = same.unionByName(alone).where("def_id <> sym_id").distinct()
-    others = links.join(pairs, ["sym_id", "norm_sig"]).join(where.drop("q"), "def_id").select(*own.columns)
-    return own.unionByName(others)
+    where = where.join(paths, where.file_id == paths.fid, "left").select("def_id", "q", "loaded_at", "path", "body_start_line", "body_end_line")
+    where = scratch.save(where)
+
+    sigs = rows.where("norm_sig <> ''").select(F.col("sym_id").alias("of"), F.col("norm_sig").alias("sig"))
+    sole = rows.where("norm_sig <> ''").groupBy("q").agg(F.min("norm_sig").alias("low"), F.max("norm_sig").alias("high"))
+
+    def resolved(side: DataFrame) -> DataFrame:
+        """``sig`` of rows (q, sig): that of the name where there is none; no row where the name has several."""
+        one = F.when(F.col("low").isNull(), "").when(F.col("low") == F.col("high"), F.col("low"))
+        return side.join(sole, "q", "left").withColumn("sig", F.coalesce("sig", one)).where("sig is not null").drop("low", "high")
+
+    at = ["loaded_at", "def_id", "path", "body_start_line", "body_end_line"]
+    members = resolved(where.join(sigs, where.def_id == sigs.of, "left").drop("of"))
+    classes = members.groupBy("q", "sig").agg(F.max(F.struct(*at)).alias("lead"), F.count(F.lit(1)).cast("int").alias("n_definitions"))
+    told = rows.select("sym_id", "q", "norm_sig")
+    bare = told.where("norm_sig = ''").join(sigs, F.col("sym_id") == F.col("of"), "left").drop("of")
+    told = resolved(told.where("norm_sig <> ''").withColumn("sig", F.col("norm_sig")).unionByName(bare))
+    led = told.join(classes, ["q", "sig"]).where("lead.def_id <> sym_id").select("sym_id", "norm_sig", "lead.def_id", "lead.path", "lead.body_start_line", "lead.body_end_line", "n_definitions")
+    own = rows.select("sym_id", "norm_sig").join(where, F.col("sym_id") == F.col("def_id"))
+    own = own.select("sym_id", "norm_sig", *at[1:], F.lit(None).cast("int").alias("n_definitions"))
+    found = own.unionByName(led).distinct()
+    # the filter comes last: declarations that tell nothing have served to tell overloads apart
+    out = rows.join(found, ["sym_id", "norm_sig"], "left").where("description <> ''")
+    return out.select("sym_id", F.col("q").alias("qualified"), "norm_sig", "declaration", "description", *at[1:], "n_definitions")

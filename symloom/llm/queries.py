@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm import leakage, markup, packing, pairs, reading
-from symloom.runtime import Scratch, table
+from symloom.runtime import Scratch, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,27 +19,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Enough partitions for the cores: a table that came as one piece is spread by its key.
-
-    A table of many splits, as any large one, stays where it is and is not shuffled.
-    """
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * splits <= cores else df
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    symbols, docs, defs, files = (table(spark, d, t) for t in ("symbols", "symbol_docs", "defs", "files"))
+    return pairs.function_pairs(symbols, spread(docs.select("sym_id", "sig", "doc")), defs, files)
 
 
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Functions and methods whose documentation says something."""
-    symbols, docs = (table(spark, d, t) for t in ("symbols", "symbol_docs"))
-    return pairs.documented(symbols, spread(docs.select("sym_id", "sig", "doc"), "sym_id")).select("sym_id").distinct()
+    return _pairs(spark, d).select("sym_id").distinct()
 
 
 @query
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Declaration, description and place of every documented function."""
-    return pairs.function_pairs(*(table(spark, d, t) for t in ("symbols", "symbol_docs", "defs", "files")))
+    return _pairs(spark, d)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -51,20 +45,19 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Symbols and files of which some doc holds markup."""
-    rows = spread(_docs(spark, d).where("doc is not null").distinct(), "doc")
-    return markup.marked(rows, markup.trained()).where("markup").select("tab", "key_id").distinct()
+    return markup.marked(_docs(spark, d).where("doc is not null").distinct(), markup.trained()).where("markup").select("tab", "key_id").distinct()
 
 
 @query
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     """Clean text of every doc of symbols and files."""
-    return markup.cleaned(spread(_docs(spark, d), "doc"), markup.trained())
+    return markup.cleaned(spread(_docs(spark, d)), markup.trained())
 
 
 @query
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every text, or piece of a text beyond 2,048 tokens, with its container."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     tasks = spark.sparkContext.defaultParallelism
     return packing.pack(packing.pieces(docs), Scratch(spark, "packing"), tasks=tasks).select("doc_id", "piece", "start", "n", "bin_id")
 
@@ -72,7 +65,7 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold passages of test items, with the items."""
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return leakage.leaked_items(docs, table(spark, d, "bench_items"))
 
 
@@ -84,7 +77,7 @@ def graded(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "doc_kind")
     model = reading.train(docs, table(spark, d, "level_labels"))
     prose = docs.where((F.col("lang") == "en") & F.col("doc_kind").isin(*GRADED_KINDS))
-    return reading.levels(spread(prose.select("doc_id", "text"), "doc_id"), model)
+    return reading.levels(spread(prose.select("doc_id", "text")), model)
 
 
 @query

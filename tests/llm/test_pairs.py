@@ -11,7 +11,7 @@ SIG = "pub fn fold_slot(shard: &str) -> u32"
     "doc",
     [None, "", " \n", "TODO", "n/a", "...", "Fold slot.", "Folds the slot.", "Function that folds slot", "foldSlot()", SIG, "@param shard\n@return", "@param shard the shard", ":param shard: the shard\n:return: value",
      "See base class.", "{@inheritDoc}", "<inheritdoc/>", "<summary></summary>", "// let x = fold(shard);\n// return x;", "////// slot //////", "---- helpers ----", "noqa: E501", "#pragma warning disable", "@generated",
-     "Copyright 2025 the authors. All rights reserved.", "Licensed under the X terms, see the LICENSE file.", "Code generated from a.proto. DO NOT EDIT.\nsource: api/a.proto", "Args:\n    shard: shard\nReturns:\n    slot",
+     "Bla bla.", "Placeholder text, replace later.", "See the reader for details.", "Overrides run.", "Copyright 2025 the authors. All rights reserved.", "Licensed under the X terms, see the LICENSE file.", "Code generated from a.proto. DO NOT EDIT.\nsource: api/a.proto", "Args:\n    shard: shard\nReturns:\n    slot",
      "Copyright 2024 the Y contributors.\n\nThis file is part of Y. It may be used, copied and changed under the\nterms of the Z licence, version 2. It comes without any warranty.\nSee the file COPYING for the details."],
 )
 def test_says_nothing(doc):
@@ -20,7 +20,7 @@ def test_says_nothing(doc):
 
 @pytest.mark.parametrize(
     "doc",
-    ["Idempotent.", "Not thread-safe.", "Returns -1 when the anchor is absent.", "O(n) in the number of facets.", "Folds the slot in place; copies are kept.", "@param shard must not be empty",
+    ["Implements the Kahan summation so the error stays constant.", "See RFC 791 for why the checksum skips the TTL.", "Overrides retries when the network is slow.", "Replaces text later than the cursor.", "Idempotent.", "Not thread-safe.", "Returns -1 when the anchor is absent.", "O(n) in the number of facets.", "Folds the slot in place; copies are kept.", "@param shard must not be empty",
      "Licensed under the X terms.\n\nPanics on odd input.", "Nur für den Leser gedacht.", "<summary>Waits until all is written.</summary>"],
 )
 def test_says_something(doc):
@@ -73,4 +73,14 @@ def test_overloads_are_told_by_their_signatures(spark):
     files = spark.createDataFrame([(i, f"{i}.cc", "2025-01-01") for i in range(1, 8)], "id long, path string, loaded_at string")
     got = sorted((r.sym_id, r.norm_sig, r.path or "") for r in pairs.function_pairs(symbols, docs, defs, files).collect())
     # 7 has no declaration and f has two signatures: it belongs to neither
-    assert got == [(1, "f(int)", ""), (1, "f(int)", "3.cc"), (2, "f(string)", ""), (2, "f(string)", "4.cc"), (5, "g(int)", "")]
+    assert got == [(1, "f(int)", "3.cc"), (2, "f(string)", "4.cc"), (5, "g(int)", "")]
+
+
+def test_a_name_of_many_definitions_is_no_product(spark):
+    n = 300
+    symbols = spark.createDataFrame([(i, f"cpp:a::f~{i}", "function", "f", "2025-01-01") for i in range(1, 2 * n + 1)], "id long, pub_id string, kind string, name string, loaded_at string")
+    docs = spark.createDataFrame([(i, "int f(int a)", "Keeps the order.") for i in range(1, n + 1)], "sym_id long, sig string, doc string")
+    defs = spark.createDataFrame([(i, 1, 10, i, i, f"2025-01-01 {i:05d}") for i in range(n + 1, 2 * n + 1)], "sym_id long, file_id long, start_line int, body_start_line int, body_end_line int, loaded_at string")
+    files = spark.createDataFrame([(1, "a.cc", "2025-01-01")], "id long, path string, loaded_at string")
+    got = pairs.function_pairs(symbols, docs, defs, files).collect()
+    assert {(r.def_id, r.n_definitions) for r in got} == {(2 * n, n)} and sorted(r.sym_id for r in got) == list(range(1, n + 1))
