@@ -193,9 +193,9 @@ def task_count(spark: SparkSession) -> int:
 @query("p6_found", P6_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows and distinct symbols of every package and file."""
-    tasks = task_count(spark)
-    a = skew.per_key(table(spark, d, "symbols"), "pkg_id", "id", tasks).withColumn("field_name", F.lit("symbols.pkg_id"))
-    b = skew.per_key(table(spark, d, "defs"), "file_id", "sym_id", tasks).withColumn("field_name", F.lit("defs.file_id"))
+    tasks, scratch = task_count(spark), Scratch(spark, "skew")
+    a = skew.per_key(table(spark, d, "symbols"), "pkg_id", "id", tasks, scratch).withColumn("field_name", F.lit("symbols.pkg_id"))
+    b = skew.per_key(table(spark, d, "defs"), "file_id", "sym_id", tasks, scratch).withColumn("field_name", F.lit("defs.file_id"))
     return a.unionByName(b).select("field_name", "key_id", "n_rows", "n_ids")
 
 
@@ -209,10 +209,11 @@ from defs d join f on d.file_id = f.id group by f.path
 )
 def p6_file_spans(spark: SparkSession, d: str) -> DataFrame:
     """Per file path: definitions, symbols and last line, by a fragment-replicate join."""
-    defs = table(spark, d, "defs").select("file_id", "sym_id", "end_line")
+    defs = table(spark, d, "defs").groupBy("file_id", "sym_id").agg(F.count(F.lit(1)).alias("n"), F.max("end_line").alias("last"))
+    defs = Scratch(spark, "skew").save(defs)
     files = table(spark, d, "files").groupBy("id").agg(F.max("path").alias("path")).withColumnRenamed("id", "file_id")
     joined = skew.skew_join(defs, files, "file_id", "sym_id", task_count(spark))
-    parts = joined.groupBy("path", "sym_id").agg(F.count(F.lit(1)).alias("n"), F.max("end_line").alias("last"))
+    parts = joined.groupBy("path", "sym_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     return parts.groupBy("path").agg(
         F.sum("n").alias("n_defs"), F.count("sym_id").alias("n_syms"), F.max("last").cast("long").alias("last_line")
     )

@@ -3,7 +3,10 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from symloom.operators import skew
+from symloom.runtime import Scratch
 
 
 def data(spark, seed=3):
@@ -20,9 +23,9 @@ def test_per_key_matches_counts(spark):
             n[k] += 1
             if m is not None:
                 ids[k].add(m)
-    got = {r.key_id: (r.n_rows, r.n_ids) for r in skew.per_key(df, "k", "m", 8).collect()}
+    got = {r.key_id: (r.n_rows, r.n_ids) for r in skew.per_key(df, "k", "m", 8, Scratch(spark, "t")).collect()}
     assert got == {k: (n[k], len(ids[k])) for k in n}
-    assert skew.per_key(df.where("false"), "k", "m", 8).count() == 0
+    assert skew.per_key(df.where("false"), "k", "m", 8, Scratch(spark, "t")).count() == 0
 
 
 def test_hot_keys_are_split_and_tasks_are_even(spark):
@@ -31,8 +34,32 @@ def test_hot_keys_are_split_and_tasks_are_even(spark):
     loads = df.groupBy("k").count().selectExpr("k key", "count load")
     plan = skew.plan_routing(loads, 8)
     assert plan.split == {1: 4} and len(plan.placed) <= 8 * skew.PLACED_SHARE
-    sizes = {r[0]: r[1] for r in skew.routed(df, "k", "m", plan).groupBy("__task").count().collect()}
-    assert max(sizes.values()) < 2 * 60_000 / 8
+    sent = skew.routed(df, "k", "m", plan)
+    sizes = {r[0]: r[1] for r in sent.groupBy(F.spark_partition_id()).count().collect()}
+    assert len(sizes) == 8 and max(sizes.values()) < 1.3 * 60_000 / 8
+    assert sent.where(F.col("__task") != F.spark_partition_id()).count() == 0
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(600)], "k long, v string")
+    copies = skew.replicated(right, "k", plan)
+    assert copies.where("k = 1").count() == 4 and copies.count() == 603
+    assert copies.where(F.col("__task") != F.spark_partition_id()).count() == 0
+
+
+def test_nothing_is_sent_again_inside_the_tasks(spark):
+    _, df = data(spark)
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(30)], "k long, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = skew.skew_join(df, right, "k", "m", 8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("shufflepartitionidpassthrough") == 2 and "hashpartitioning" not in plan
+
+
+def test_rows_without_a_key_are_spread(spark):
+    df = spark.range(8_000).selectExpr("cast(null as long) k", "id m").union(spark.range(100).selectExpr("id k", "id m"))
+    loads = skew.key_loads(df, "k")
+    sizes = [r["count"] for r in skew.routed(df, "k", "m", skew.plan_routing(loads, 8)).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.3 * 8_100 / 8
 
 
 def test_join_equals_a_plain_join(spark):
