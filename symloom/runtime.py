@@ -101,10 +101,13 @@ class Scratch:
 
     def save_by(self, df: DataFrame, by: str, name: str = "t") -> DataFrame:
         """As :meth:`save`, one folder for each value of ``by``: a later filter on it reads only those."""
+        return self.read(self.path_by(df, by, name), df)
+
+    def path_by(self, df: DataFrame, by: str, name: str = "t") -> str:
         self._n += 1
         where = f"{self.root}/{self._n:03d}-{name}"
         df.write.mode("overwrite").partitionBy(by).parquet(where)
-        return self.read(where, df)
+        return where
 
     def path(self, df: DataFrame, name: str = "t") -> str:
         self._n += 1
