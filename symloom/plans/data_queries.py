@@ -174,7 +174,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Busy stretches of every session and the gaps between them."""
     rows = iv.latest_rows(table(spark, d, "commands"), "id", ["session_id", "started_at", "finished_at"])
     sec = lambda c: F.floor(F.col(c) / F.lit(1_000_000)).cast("long")
-    out = iv.busy_and_gaps(rows, "session_id", "started_at", "finished_at")
+    out = iv.busy_and_gaps(rows, "session_id", "started_at", "finished_at", Scratch(spark, "intervals"))
     return out.select(F.col("entity").alias("session_id"), "seg_kind", sec("seg_start").alias("start_s"), sec("seg_end").alias("end_s"))
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from symloom.operators import intervals as iv
+from symloom.runtime import Scratch
 
 T0 = dt.datetime(2025, 3, 1)
 
@@ -37,9 +38,16 @@ def test_against_brute_force(spark):
     us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     want = {(e, k, us(a), us(b)) for e, k, a, b in brute(rows)}
     for span in (iv.SPAN_US, 60_000_000):  # the result does not depend on the bucket size
-        got = iv.busy_and_gaps(df, "e", "a", "b", span).collect()
+        got = iv.busy_and_gaps(df, "e", "a", "b", Scratch(spark, "t"), span).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
-    assert iv.busy_and_gaps(df.where("false"), "e", "a", "b").count() == 0
+    assert iv.busy_and_gaps(df.where("false"), "e", "a", "b", Scratch(spark, "t")).count() == 0
+
+
+def test_a_microsecond_is_a_gap(spark):
+    us = dt.timedelta(microseconds=1)
+    df = spark.createDataFrame([("x", T0, T0), ("x", T0 + us, T0 + 5 * us), ("x", T0 + 5 * us, T0 + 6 * us)], "e string, a timestamp, b timestamp")
+    got = sorted((r.seg_kind, r.seg_end - r.seg_start) for r in iv.busy_and_gaps(df, "e", "a", "b", Scratch(spark, "t")).collect())
+    assert got == [("busy", 0), ("busy", 5), ("gap", 1)]
 
 
 def test_latest_rows(spark):
