@@ -1,11 +1,16 @@
 """Processing only new or changed records: Merkle tree over key-range hashes.
 
 A feed keeps, per committed run, a digest tree over equal ranges of the hashed key space and the
-entries that the run changed. A run computes the tree of its current view (one map-side combined
-aggregation), walks the saved and the current tree from the root and descends only where their
-digests differ, extracts the rows of the differing leaves, compares those with the saved entries
-and publishes the changed rows and the new tree together: both lie in one version folder that
-counts only once a commit file of its name exists, which appears by a rename.
+entries that the run changed. A run brings a view of all records or only the records it saw; the
+digests of the leaves those lie in are worked out anew (combined before the shuffle), all others are
+those of the saved tree. The run walks the saved and the current tree from the root, descends only
+where their digests differ, extracts the rows of the differing leaves that differ from the saved
+entries and publishes them and the new tree together: both lie in one version folder that counts
+only once the commit file of its place in the order exists, which one writer alone can create.
+
+A change of few keys reads the leaves of those keys. Changes spread evenly over more keys than there
+are leaves touch every leaf, and then a run reads all saved entries. Entries are sorted by leaf, so
+files skip what is outside, and every few runs they are compacted to the newest of each key.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ def _digest(x: object) -> bytes:
     return hashlib.blake2b(repr(x).encode(), digest_size=16).digest()
 
 
-ENTRY_SCHEMA = "key string, digest string, leaf long, op string, version long"
+ENTRY_SCHEMA = "key string, digest string, leaf long, op string, version long, seq long"
+COMPACT_EVERY = 8  # commits
 
 
 class MerkleFeed:
@@ -35,7 +41,7 @@ class MerkleFeed:
     Defined cases: a null key is no record and is left out; a null digest is a value of its own; a
     view with several rows of one key is a caller's error (reduce it with :func:`latest_versions`).
     A run that dies before its commit leaves a folder no reader looks at; the next run with the same
-    or another number starts from the last committed state. Committing a run number again is refused.
+    or another number starts from the last committed state. A compaction that dies is done without. Committing a run number again is refused.
     """
 
     def __init__(self, spark: SparkSession, root: str, fanout: int = 16, depth: int = 3):
@@ -50,24 +56,49 @@ class MerkleFeed:
 
     def committed(self) -> list[int]:
         """Run numbers in the order of their commits."""
-        return [int(name.partition("-")[2]) for name in self.files.children(f"{self.root}/commits")]
+        named = (self.files.read_text(f"{self.root}/commits/{name}") for name in self.files.children(f"{self.root}/commits"))
+        return [int(text) for text in named if text]
 
     def _folder(self, version: int) -> str:
         return f"{self.root}/v{version:012d}"
 
+    def _saved(self, version: int) -> dict:
+        return json.loads(self.files.read_text(f"{self._folder(version)}/tree.json"))
+
     def saved_tree(self) -> dict[int, tuple[int, int, int]]:
         done = self.committed()
-        if not done:
-            return {}
-        rows = json.loads(self.files.read_text(f"{self._folder(done[-1])}/tree.json"))
-        return {leaf: (n, a, b) for leaf, n, a, b in rows}
+        return {leaf: (n, a, b) for leaf, n, a, b in self._saved(done[-1])["leaves"]} if done else {}
 
     def output(self) -> DataFrame:
-        """All published rows of all committed runs: key, digest, leaf, op, version."""
-        done = self.committed()
-        if not done:
+        """All published rows of all committed runs: key, digest, leaf, op, version, seq (place of the run in the order)."""
+        return self._entries([f"{self._folder(v)}/output" for v in self.committed()])
+
+    def _entries(self, paths: list[str]) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], ENTRY_SCHEMA)
-        return self.spark.read.schema(ENTRY_SCHEMA).parquet(*(f"{self._folder(v)}/output" for v in done))
+        return self.spark.read.schema(ENTRY_SCHEMA).parquet(*paths)
+
+    def live(self, leaves: list[int] | None = None) -> DataFrame:
+        """key, digest, leaf of the records after the last commit, in the given leaves."""
+        newest = self._newest(leaves).where("op <> 'removed'")
+        return newest.select("key", "digest", "leaf")
+
+    def _newest(self, leaves: list[int] | None = None) -> DataFrame:
+        done = self.committed()
+        upto = len(done) // COMPACT_EVERY * COMPACT_EVERY
+        base = f"{self.root}/compact/{upto:08d}"
+        if not (upto and self.files.exists(f"{base}/_SUCCESS")):
+            upto = 0
+        rows = self._entries([base] * bool(upto) + [f"{self._folder(v)}/output" for v in done[upto:]])
+        rows = rows if leaves is None else self._in_leaves(rows, leaves)
+        rest = [c for c in rows.columns if c not in ("key", "seq")]
+        newest = rows.groupBy("key").agg(F.max_by(F.struct(*rest), "seq").alias("m"), F.max("seq").alias("seq"))
+        return newest.select("key", *(F.col(f"m.{c}").alias(c) for c in rest), "seq")
+
+    def _compact(self, n: int) -> None:
+        """The newest entry of each key after ``n`` commits, sorted by leaf; a reader uses it once it is whole."""
+        rows = self._newest().select(*(c.split()[0] for c in ENTRY_SCHEMA.split(", ")))
+        rows.repartitionByRange("leaf").sortWithinPartitions("leaf").write.mode("overwrite").parquet(f"{self.root}/compact/{n:08d}")
 
     # tree ------------------------------------------------------------------------------------
 
@@ -113,53 +144,61 @@ class MerkleFeed:
 
     # a run -----------------------------------------------------------------------------------
 
-    def stage(self, version: int, view: DataFrame) -> int:
-        """Write the run's output and tree, uncommitted; returns the number of leaves entered."""
-        done = self.committed()
+    def stage(self, version: int, view: DataFrame, whole: bool = True) -> int:
+        """Write the run's output and tree, uncommitted; returns the number of leaves entered.
+
+        ``whole``: the view holds all records, and those that it lacks were removed. Otherwise it holds
+        only the records the run saw, and all others are as they were.
+        """
+        done, saved = self.committed(), self.saved_tree()
         if version in done:
             raise ValueError(f"run {version} is committed already")
-        keyed = self.with_leaf(view)
-        # at most fanout ** depth rows of four numbers
-        current = {r.leaf: (r.n, r.a, r.b) for r in self.leaf_digests(keyed).collect()}
-        changed = self.descend(self.saved_tree(), current)
         folder = self._folder(version)
         self.files.delete(folder)
-        wanted = self._in_leaves(keyed, changed)
-        saved = self._in_leaves(self.output(), changed)
-        before = saved.groupBy("key").agg(
-            F.max_by(F.struct("digest", "op"), "version").alias("was"), F.first("leaf").alias("was_leaf")
-        ).where(F.col("was.op") != "removed").select(
-            F.col("key").alias("was_key"), F.col("was.digest").alias("was_digest"), "was_leaf"
-        )
-        both = wanted.join(before, wanted.key == before.was_key, "full_outer")
+        keyed, touched = self.with_leaf(view), None
+        if not whole:
+            touched = sorted(r.leaf for r in keyed.select("leaf").distinct().collect())  # at most fanout ** depth numbers
+        was = self.live(touched).select(F.col("key").alias("was_key"), F.col("digest").alias("was_digest"), F.col("leaf").alias("was_leaf"))
+        both = keyed.join(was, keyed.key == was.was_key, "full_outer").select(
+            F.coalesce("key", "was_key").alias("key"), "digest", "was_digest", F.coalesce("leaf", "was_leaf").alias("leaf"),
+            F.col("key").isNotNull().alias("seen"), F.col("was_key").isNotNull().alias("known"),
+        )
+        both.write.mode("overwrite").parquet(f"{folder}/compared")
+        both = self.spark.read.schema(both.schema).parquet(f"{folder}/compared")
+        now = both.where("seen") if whole else both
+        now = now.select("key", F.when(F.col("seen"), F.col("digest")).otherwise(F.col("was_digest")).alias("digest"), "leaf")
+        # at most fanout ** depth rows of four numbers
+        fresh = {r.leaf: (r.n, r.a, r.b) for r in self.leaf_digests(now).collect()}
+        current = fresh if touched is None else {k: v for k, v in saved.items() if k not in set(touched)} | fresh
+        changed = self.descend(saved, current)
         op = (
-            F.when(F.col("was_key").isNull(), "new")
-            .when(F.col("key").isNull(), "removed")
+            F.when(~F.col("known"), "new")
+            .when(~F.col("seen"), F.lit("removed") if whole else F.lit(None))
             .when(~F.col("digest").eqNullSafe(F.col("was_digest")), "changed")
         )
-        (
-            both.select(
-                F.coalesce("key", "was_key").alias("key"),
-                "digest",
-                F.coalesce("leaf", "was_leaf").alias("leaf"),
-                op.alias("op"),
-                F.lit(version).cast("long").alias("version"),
-            )
-            .where("op is not null")
-            .write.mode("overwrite")
-            .parquet(f"{folder}/output")
-        )
-        self.files.write_text(f"{folder}/tree.json", json.dumps([[k, *v] for k, v in sorted(current.items())]))
+        rows = self._in_leaves(both, changed).select("key", "digest", "leaf", op.alias("op"), F.lit(version).cast("long").alias("version"), F.lit(len(done)).cast("long").alias("seq"))
+        rows.where("op is not null").sortWithinPartitions("leaf").write.mode("overwrite").parquet(f"{folder}/output")
+        self.files.delete(f"{folder}/compared")
+        self.files.write_text(f"{folder}/tree.json", json.dumps({"after": len(done), "leaves": [[k, *v] for k, v in sorted(current.items())]}))
         return len(changed)
 
     def commit(self, version: int) -> None:
-        """Publish output and tree of a staged run in one step."""
+        """Publish output and tree of a staged run in one step, as the next in the order.
+
+        Of two runs that were staged after the same commit only one gets the place; the other is refused
+        and must be staged again.
+        """
         if not self.files.exists(f"{self._folder(version)}/tree.json"):
             raise ValueError(f"run {version} is not staged")
-        self.files.write_text(f"{self.root}/commits/{len(self.committed()):08d}-{version}", "")
-
-    def run(self, version: int, view: DataFrame) -> int:
-        entered = self.stage(version, view)
+        n = len(self.committed())
+        if self._saved(version)["after"] != n:
+            raise ValueError(f"run {version} was staged before the last commit")
+        self.files.create_text(f"{self.root}/commits/{n:08d}", str(version))
+        if (n + 1) % COMPACT_EVERY == 0:
+            self._compact(n + 1)
+
+    def run(self, version: int, view: DataFrame, whole: bool = True) -> int:
+        entered = self.stage(version, view, whole)
         self.commit(version)
         return entered
 

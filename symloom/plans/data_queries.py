@@ -16,19 +16,21 @@ from symloom.runtime import Scratch, table
 # 1: processing only new or changed records ---------------------------------------------------
 
 
-def knowledge_feed(spark: SparkSession, d: str) -> inc.MerkleFeed:
-    """Replay all successful indexing runs in their order through one feed."""
+def knowledge_feed(spark: SparkSession, d: str, root: str | None = None) -> inc.MerkleFeed:
+    """Take all successful indexing runs, in their order, that the feed in folder ``root`` has not taken yet.
+
+    A run brings the rows it delivered; keys it did not deliver stay as they were. Without ``root`` the feed is new.
+    """
     scratch = Scratch(spark, "feed")
-    ok = table(spark, d, "index_runs").where("status = 'ok'").select(F.col("run_id").alias("version"))
-    rows = table(spark, d, "knowledge").select("run_id", "embed_key", "doc_text", "loaded_at", "row_id")
-    seen = inc.latest_versions(rows, "run_id", "embed_key", "doc_text", ["loaded_at", "row_id"])
-    seen = seen.join(F.broadcast(ok.distinct()), "version", "left_semi")  # index_runs: one row a run
-    # a key's version holds until the next successful run that saw the key
-    until = F.expr("lead(version) over (partition by key order by version)")
-    seen = scratch.save(seen.withColumn("until", until), "versions")
-    feed = inc.MerkleFeed(spark, f"{scratch.root}/state")
-    for (run,) in sorted(tuple(r) for r in ok.distinct().collect()):  # index_runs: one row a run
-        feed.run(run, seen.where((F.col("version") <= run) & (F.col("until").isNull() | (F.col("until") > run))))
+    feed = inc.MerkleFeed(spark, root or f"{scratch.root}/state")
+    ok = sorted(r.run_id for r in table(spark, d, "index_runs").where("status = 'ok'").select("run_id").distinct().collect())  # one row a run
+    due = [run for run in ok if run not in set(feed.committed())]
+    if not due:
+        return feed
+    rows = table(spark, d, "knowledge").select("run_id", "embed_key", "doc_text", "loaded_at", "row_id").where(F.col("run_id").isin(due))
+    seen = scratch.save_by(inc.latest_versions(rows, "run_id", "embed_key", "doc_text", ["loaded_at", "row_id"]), "version", "seen")
+    for run in due:
+        feed.run(run, seen.where(F.col("version") == run), whole=False)
     return feed
 
 

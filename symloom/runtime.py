@@ -78,6 +78,19 @@ class Files:
         if not self._fs.rename(self._path(tmp), self._path(path)):
             raise OSError(f"cannot publish {path}")
 
+    def create_text(self, path: str, text: str) -> None:
+        """A new file under a name that one caller alone can take: whoever finds it taken gets an error.
+
+        An empty one was left by a writer that died between the two steps; it gives way.
+        """
+        if self.exists(path) and not self.read_text(path):
+            self.delete(path)
+        out = self._fs.create(self._path(path), False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
     def read_text(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
         try:

@@ -55,6 +55,47 @@ def test_a_run_that_dies_before_its_commit_leaves_no_trace(spark):
         again.commit(9)
 
 
+def test_of_two_writers_one_commits(spark):
+    f, g = feed(spark), None
+    f.run(1, view(spark, {"a": "1"}))
+    g = inc.MerkleFeed(spark, f.root)
+    f.stage(2, view(spark, {"a": "2"}))
+    g.stage(3, view(spark, {"a": "3"}))
+    f.commit(2)
+    with pytest.raises(ValueError):
+        g.commit(3)
+    with pytest.raises(Exception):
+        f.files.create_text(f"{f.root}/commits/00000001", "3")
+    g.run(3, view(spark, {"a": "3"}))
+    assert g.committed() == [1, 2, 3] and taken(g, 3) == [("a", "changed")]
+
+
+def test_partial_deliveries_and_compaction(spark, monkeypatch):
+    monkeypatch.setattr(inc, "COMPACT_EVERY", 3)
+    rng = random.Random(8)
+    f, state = feed(spark, fanout=4, depth=3), {}
+    for run in range(1, 9):
+        seen = {f"k{rng.randrange(40)}": str(rng.randrange(3)) for _ in range(10)}
+        entered = f.run(run, view(spark, seen), whole=False)
+        want = [(k, "new") for k in seen if k not in state] + [(k, "changed") for k in seen if k in state and state[k] != seen[k]]
+        state |= seen
+        assert taken(f, run) == sorted(want) and entered <= len(want)
+        assert {r.key: r.digest for r in f.live().collect()} == state
+    assert f.files.children(f"{f.root}/compact") == ["00000003", "00000006"]
+    again = inc.MerkleFeed(spark, f.root, fanout=4, depth=3)
+    assert again.run(9, view(spark, state)) == 0 and again.run(10, view(spark, {"k1": state.get("k1", "0")}), whole=False) <= 1
+
+
+def test_the_query_resumes(spark):
+    from symloom.plans.data_queries import knowledge_feed
+
+    root = Scratch(spark, "kept").root
+    first = knowledge_feed(spark, "/root/testdata/sf0.001", root)
+    runs, n = first.committed(), first.output().count()
+    again = knowledge_feed(spark, "/root/testdata/sf0.001", root)
+    assert again.committed() == runs and again.output().count() == n
+
+
 def test_nulls_and_empty(spark):
     f = feed(spark, fanout=4, depth=2)
     f.run(1, view(spark, {}))
