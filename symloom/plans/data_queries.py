@@ -108,6 +108,33 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("sym_id"), "path", F.col("depth").cast("long").alias("depth"), (F.col("size") - 1).alias("n_descendants"))
 
 
+P2_PAIRS_SQL = f"""
+with recursive {P2_LINKS}
+down as (select id from link where parent is null union all select l.id from link l join down w on l.parent = w.id),
+good as (select l.id, l.parent from link l join down using (id)),
+up as (select id, parent anc from good where parent is not null union all select u.id, g.parent from up u join good g on u.anc = g.id where g.parent is not null)
+select {{cols}} from up where {{side}} % 20 = 0
+"""
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "symbols").where("id % 20 = 0").select("id")
+
+
+@query("p2_descendants", P2_PAIRS_SQL.format(cols="anc sym_id, id descendant", side="anc"))
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every twentieth symbol, by nested-set ranges."""
+    out = h.descendants(symbol_hierarchy(spark, d, named=False), _asked(spark, d))
+    return out.select(F.col("id").alias("sym_id"), "descendant")
+
+
+@query("p2_ancestors", P2_PAIRS_SQL.format(cols="id sym_id, anc ancestor", side="id"))
+def p2_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """All ancestors of every twentieth symbol, by nested-set ranges."""
+    out = h.ancestors(symbol_hierarchy(spark, d, named=False), _asked(spark, d))
+    return out.select(F.col("id").alias("sym_id"), "ancestor")
+
+
 # 3: references to records that do not exist --------------------------------------------------
 
 
