@@ -48,9 +48,11 @@ def dirname(path: Column) -> Column:
 
 
 def join_path(base: Column, target: Column) -> Column:
-    """``target`` seen from directory ``base``, with . and .. resolved (both kept shallow: at most 8 steps up)."""
-    p = F.when(target.startswith("/"), F.substring(target, 2, 1_000_000)).when(base == "", target).otherwise(F.concat(base, F.lit("/"), target))
-    p = F.regexp_replace(p, r"(^|/)(\./)+", "$1")
-    for _ in range(8):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return p
+    """``target`` seen from directory ``base``, with . and .. resolved; steps above the top stay. A leading slash means the top."""
+    whole = F.when(target.startswith("/"), F.regexp_replace(target, "^/", "")).when(base == "", target).otherwise(F.concat(base, F.lit("/"), target))
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(done, -1), F.lit("")) != "..")
+        return F.when(part == ".", done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")

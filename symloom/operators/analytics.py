@@ -25,7 +25,8 @@ def god_nodes(nodes: DataFrame, degrees: DataFrame, top: int = 20) -> DataFrame:
     n = nodes.join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     n = n.withColumn("filter", F.when(F.col("external"), "external").when(F.col("test"), "test").otherwise("live"))
     rank = F.row_number().over(Window.partitionBy("filter").orderBy(F.desc("degree"), "id"))
-    return n.withColumn("rank", rank - 1).where(F.col("rank") < top).select("filter", "rank", F.col("id").alias("short_id"), F.col("degree").alias("weighted_degree"), "name")
+    # filtered as it is ranked, so each partition keeps its first ``top`` before the shuffle
+    return n.withColumn("rn", rank).where(F.col("rn") <= top).select("filter", (F.col("rn") - 1).alias("rank"), F.col("id").alias("short_id"), F.col("degree").alias("weighted_degree"), "name")
 
 
 def clustering_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:

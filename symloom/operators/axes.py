@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from symloom import model
 from symloom.operators.analytics import weighted_degree
 from symloom.operators.rollup import UNANCHORED
+from symloom.runtime import Scratch
 
 CONTAINERS = model.SCOPES
 OUT_CAP, IN_CAP, CENTRAL_CAP = 8, 24, 8
@@ -106,7 +107,7 @@ def components(paths: DataFrame) -> DataFrame:
     return areas.join(enough, "pkg", "left_semi").select("dir", "n")
 
 
-def domains(nodes: DataFrame, edges: DataFrame, membership: DataFrame) -> DataFrame:
+def domains(nodes: DataFrame, edges: DataFrame, membership: DataFrame, scratch: Scratch) -> DataFrame:
     """community_id, size, n_links, n_packages, hub: communities that span packages by links of their own.
 
     ``membership``: id, community_id. Members are first-party, named, no containers, tests or examples. A
@@ -117,13 +118,15 @@ def domains(nodes: DataFrame, edges: DataFrame, membership: DataFrame) -> DataFr
     m = n.where(~F.col("test") & ~F.col("example") & (F.col("name") != "") & ~F.col("kind").isin(*CONTAINERS))
     m = m.join(membership, "id").select("id", "name", F.col("anchor_name").alias("pkg"), "community_id")
     size = m.groupBy("community_id").agg(F.count(F.lit(1)).alias("raw"), F.countDistinct("pkg").alias("pkgs")).where(F.col("raw") >= MIN_DOMAIN_SIZE)
-    m = m.join(size, "community_id")
+    m = scratch.save(m.join(size, "community_id"), "members")
     a, b = (m.select(F.col("id").alias(f"{x}_id"), F.col("pkg").alias(f"{x}_pkg"), F.col("community_id").alias(f"{x}_c")) for x in ("src", "dst"))
     inner = edges.join(a, "src_id").join(b, "dst_id").where("src_c = dst_c")
-    links = inner.where("src_pkg <> dst_pkg").select("src_id", "dst_id", "src_c", "src_pkg", "dst_pkg").distinct()
+    inner = scratch.save(inner.groupBy("src_id", "dst_id", "src_c", "src_pkg", "dst_pkg").agg(F.sum("weight").alias("weight")), "inner")
+    links = inner.where("src_pkg <> dst_pkg").select("src_id", "dst_id", "src_c", "src_pkg", "dst_pkg")
     links = links.groupBy(F.col("src_c").alias("community_id"), F.least("src_pkg", "dst_pkg").alias("p"), F.greatest("src_pkg", "dst_pkg").alias("q")).agg(F.count(F.lit(1)).alias("n"))
     cand = m.groupBy("community_id", "pkg").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= MIN_PKG_MEMBERS).select("community_id", "pkg")
     ok = links.join(cand.withColumnRenamed("pkg", "p"), ["community_id", "p"], "left_semi").join(cand.withColumnRenamed("pkg", "q"), ["community_id", "q"], "left_semi")
+    ok = scratch.save(ok, "links")
     span = ok.groupBy("community_id").agg(F.sum("n").alias("n_links")).where(F.col("n_links") >= MIN_DOMAIN_LINKS)
     kept = ok.select("community_id", F.col("p").alias("pkg")).union(ok.select("community_id", "q")).distinct().join(span, "community_id")
     spanning = m.join(kept, ["community_id", "pkg"])

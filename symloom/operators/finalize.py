@@ -22,15 +22,21 @@ def subset(external: Column, test: Column) -> Column:
     return F.when(external, "external").when(test, "test").otherwise("internal")
 
 
-def entity_stats(symbols: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
-    """scope, key, subset, metric, value: numbers of symbols and files by language and subset, and of packages."""
+def entity_stats(symbols: DataFrame, files: DataFrame, defs: DataFrame, packages: DataFrame) -> DataFrame:
+    """scope, key, subset, metric, value: numbers of symbols, files and definitions by language and subset, of packages by manager.
+
+    A definition counts as its symbol does; those of unknown symbols do not count.
+    """
     def per_language(df: DataFrame, metric: str) -> DataFrame:
         n = df.groupBy(F.col("language").alias("key"), subset(F.col("external"), F.col("test")).alias("subset")).agg(F.count(F.lit(1)).alias("value"))
         return n.select(F.lit("language").alias("scope"), "key", "subset", F.lit(metric).alias("metric"), "value")
 
-    pk = packages.groupBy(F.when(F.col("external"), "external").otherwise("internal").alias("subset")).agg(F.count(F.lit(1)).alias("value"))
-    pk = pk.select(F.lit("global").alias("scope"), F.lit("").alias("key"), "subset", F.lit("packages").alias("metric"), "value")
-    return per_language(symbols, "symbols").unionByName(per_language(files, "files")).unionByName(pk)
+    of = defs.groupBy(F.col("sym_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(symbols.select("id", "language", "external", "test"), "id")
+    of = of.groupBy(F.col("language").alias("key"), subset(F.col("external"), F.col("test")).alias("subset")).agg(F.sum("n").alias("value"))
+    of = of.select(F.lit("language").alias("scope"), "key", "subset", F.lit("defs").alias("metric"), "value")
+    pk = packages.groupBy(F.col("manager").alias("key"), F.when(F.col("external"), "external").otherwise("internal").alias("subset")).agg(F.count(F.lit(1)).alias("value"))
+    pk = pk.select(F.lit("manager").alias("scope"), "key", "subset", F.lit("packages").alias("metric"), "value")
+    return per_language(symbols, "symbols").unionByName(per_language(files, "files")).unionByName(of).unionByName(pk)
 
 
 def workspace_overview(stats: DataFrame) -> DataFrame:

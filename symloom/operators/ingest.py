@@ -21,7 +21,6 @@ LICENCE_MARKERS = (
     "gnu general public license", "gnu lesser general public license", "permission is hereby granted", "subject to the following conditions", "redistribution and use", "redistributions of source code",
     "the software is provided", "without warranty",
 )
-COMMENT_MARKERS = ("//!", "///", "//", "/**", "/*", "*/", "*")
 # Role bits of an occurrence.
 DEFINITION, IMPORT, WRITE, READ = 1, 2, 4, 8
 ERRORS_LISTED = 32

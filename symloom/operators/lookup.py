@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 COUNTED = ("symbols", "symbol_docs", "defs", "edges", "files", "packages", "file_docs")
 
 
+LINES = 256  # lines of one file that make a block of the interval joins
+
+
+def _blocks(start: str, end: str) -> Column:
+    """One row a block of lines that an extent covers: a file of very many definitions is many keys."""
+    return F.explode(F.sequence(F.floor(F.col(start) / LINES), F.floor(F.col(end) / LINES))).alias("blk")
+
+
 def fetch_symbols(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of each wanted (language, pub_id) the symbol with the smallest id; unknown ones have no row."""
     cols = symbols.columns
@@ -97,8 +105,9 @@ def symbols_by_short_name(symbols: DataFrame, names: DataFrame, defs: DataFrame,
 
 def at_location(defs: DataFrame, places: DataFrame) -> DataFrame:
     """Symbols whose name span holds (file_id, line), the tightest first: rank 1 is the innermost."""
-    d = anchored_defs(defs).select("file_id", "sym_id", "start_line", "end_line")
-    hit = places.select("file_id", "line").distinct().join(d, "file_id").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    d = anchored_defs(defs).where("end_line >= start_line").select("file_id", "sym_id", "start_line", "end_line", _blocks("start_line", "end_line"))
+    p = places.select("file_id", "line").distinct().withColumn("blk", F.floor(F.col("line") / LINES))
+    hit = p.join(d, ["file_id", "blk"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
     best = hit.groupBy("file_id", "line", "sym_id").agg(F.min(F.col("end_line") - F.col("start_line")).alias("span"))
     w = Window.partitionBy("file_id", "line").orderBy("span", "sym_id")
     return best.withColumn("rank", F.row_number().over(w))
@@ -123,6 +132,12 @@ def source_lines(extents: DataFrame, texts: DataFrame) -> DataFrame:
 
     Lines beyond the text are left out; an extent that starts beyond it gives an empty text.
     """
-    lines = texts.select("file_id", F.split(F.regexp_replace("text", "\r\n", "\n"), "\n").alias("lines"))
-    n = F.col("end_line") - F.col("start_line") + 1
-    return extents.join(lines, "file_id").where("start_line >= 1 and end_line >= start_line").select("sym_id", F.array_join(F.slice("lines", F.col("start_line"), n), "\n").alias("source"))
+    lines = texts.where("text is not null").select("file_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")).alias("at", "piece"))
+    lines = lines.select("file_id", (F.col("at") + 1).alias("line"), "piece", F.floor((F.col("at") + 1) / LINES).alias("blk"))
+    key = ["sym_id", "file_id", "start_line", "end_line"]
+    wanted = extents.where("start_line >= 1 and end_line >= start_line").select(*key)
+    wanted = wanted.join(texts.where("text is not null").select("file_id").distinct(), "file_id", "left_semi")
+    # lines and extents meet on blocks of a file's lines, so no text is carried once for each of its extents
+    hit = wanted.distinct().select(*key, _blocks("start_line", "end_line")).join(lines, ["file_id", "blk"]).where("line between start_line and end_line")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda x: x.piece), "\n")
+    return wanted.join(hit.groupBy(*key).agg(text.alias("source")), key, "left").select("sym_id", F.coalesce("source", F.lit("")).alias("source"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,8 +57,10 @@ def substring_scores(rows: DataFrame, queries: DataFrame) -> DataFrame:
     r = rows.select("id", F.lower("text").alias("text")).where("text is not null")
     sizes = r.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("average"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3))))
-    post = r.where(F.length("text") >= 3).select("id", "text", F.explode(grams).alias("gram"))
-    hit = post.join(q.withColumn("gram", F.substring("q", 1, 3)), "gram").where(F.col("text").contains(F.col("q")))
+    # postings are ids only: the text is fetched again for the rows that hold a query's first trigram
+    post = r.where(F.length("text") >= 3).select("id", F.explode(grams).alias("gram"))
+    met = post.join(q.select("qid", "q", F.substring("q", 1, 3).alias("gram")), "gram").select("qid", "q", "id").distinct()
+    hit = met.join(r, "id").where(F.col("text").contains(F.col("q")))
     # overlapping occurrences
     at = F.sequence(F.lit(1), F.greatest(F.length("text") - F.length("q") + 1, F.lit(1)))
     tf = F.size(F.filter(at, lambda i: F.substring(F.col("text"), i, F.length("q")) == F.col("q")))
@@ -153,9 +156,11 @@ def blended(symbols: DataFrame, sigs: DataFrame, docs: DataFrame, queries: DataF
 def phrase_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, id, score: rows (id, text) that hold the query's words as one phrase."""
     d = docs.select("id", words(F.col("text")).alias("w"))
-    d = d.select("id", F.size("w").alias("n"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"), F.explode(F.array_distinct("w")).alias("first"))
     q = queries.select("qid", words(F.col("q")).alias("qw")).where(F.size("qw") > 0).select("qid", F.concat(F.lit(" "), F.array_join("qw", " "), F.lit(" ")).alias("p"), F.col("qw")[0].alias("first"))
-    hit = d.join(q, "first").where(F.col("t").contains(F.col("p")))
+    # postings are ids only: the text is fetched again for the rows that hold a query's first word
+    met = d.select("id", F.explode(F.array_distinct("w")).alias("first")).join(q, "first").select("qid", "p", "id").distinct()
+    whole = d.select("id", F.size("w").alias("n"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t"))
+    hit = met.join(whole, "id").where(F.col("t").contains(F.col("p")))
     tf = (F.length("t") - F.length(F.replace("t", F.col("p"), F.lit("")))) / F.length("p")
     hit = hit.select("qid", "id", "n", F.ceil(tf).alias("tf"))
     size = docs.select(F.size(words(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.avg("n").alias("average"))
@@ -176,56 +181,61 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1_024) -> DataFrame:
     """qid, id, distance, rn: the k nearest of (id, vec) by cosine for each (qid, vec), exact.
 
-    Queries go to the vectors in blocks of at most ``block``, so a task holds a bounded number of queries at a
-    time; each task keeps its k best a query before anything is shuffled. Both sides share one length.
+    Queries go to the vectors in blocks of at most ``block``, sent as one matrix, so driver and tasks hold a
+    bounded number of them; each task keeps the k best a query before anything is shuffled. Both sides share
+    one length; a zero vector is at distance one from all. Ties fall to the smaller id.
     """
     import numpy as np
     import pyarrow as pa
 
-    def scan(batch_queries):
-        qids = [q for q, _ in batch_queries]
-        m = np.array([v for _, v in batch_queries], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sc = vectors.sparkSession.sparkContext
+    rows = vectors.where("id is not null and vec is not null").select(F.col("id").cast("long"), F.col("vec").cast("array<double>").alias("vec"))
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-300)
+
+    def scan(shared):
+        def best(at: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple:
+            order = np.lexsort((ids, d, at))
+            at, ids, d = at[order], ids[order], d[order]
+            first = np.searchsorted(at, at)
+            keep = np.arange(len(at)) - first < k
+            return at[keep], ids[keep], d[keep]
 
         def run(batches):
-            best: list[tuple] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(qids)
-            for b in batches:
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                if not len(ids):
-                    continue
-                x = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                d = 1.0 - m @ x.T
-                for i in range(len(qids)):
-                    all_ids, all_d = np.concatenate([best[i][0], ids]), np.concatenate([best[i][1], d[i]])
-                    keep = np.lexsort((all_ids, np.round(all_d, 12)))[:k]
-                    best[i] = (all_ids[keep], all_d[keep])
-            for q, (ids, d) in zip(qids, best):
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(d, pa.float64())], ["qid", "id", "distance"])
+            qids, m = shared.value
+            found = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+            for whole in batches:
+                for start in range(0, whole.num_rows, 2_048):
+                    b = whole.slice(start, 2_048)
+                    ids = b.column(0).to_numpy(zero_copy_only=False)
+                    d = np.round(1.0 - m @ matrix(b.column(1)).T, 12)
+                    n = min(k, d.shape[1])
+                    last = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                    at, col = np.nonzero(d <= last)  # no row beyond the batch's k nearest, ties kept
+                    found = best(*(np.concatenate(x) for x in zip(found, (at, ids[col], d[at, col]))))
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[found[0]]), pa.array(found[1]), pa.array(found[2])], ["qid", "id", "distance"])
 
         return run
 
-    rows = vectors.where("id is not null and vec is not null").select(F.col("id").cast("long"), "vec")
     out, pending = None, []
-
-    def flush():
-        nonlocal out, pending
-        part = rows.mapInArrow(scan(pending), "qid long, id long, distance double")
-        out = part if out is None else out.unionByName(part)
-        pending = []
-
-    for r in queries.where("vec is not null").select(F.col("qid").cast("long"), "vec").toLocalIterator():
-        pending.append((r[0], [float(x) for x in r[1]]))
-        if len(pending) == block:
-            flush()
-    if pending:
-        flush()
+    asked = queries.where("vec is not null").select(F.col("qid").cast("long"), F.col("vec").cast("array<double>"))
+    for r in itertools.chain(asked.toLocalIterator(), [None]):
+        if pending and (r is None or len(pending) == block):
+            m = np.array([v for _, v in pending])
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            part = rows.mapInArrow(scan(sc.broadcast((np.array([q for q, _ in pending], dtype=np.int64), m))), "qid long, id long, distance double")  # ``block`` vectors
+            out, pending = part if out is None else out.unionByName(part), []
+        if r is not None:
+            pending.append((r[0], r[1]))
     if out is None:
         return queries.sparkSession.createDataFrame([], "qid long, id long, distance double, rn int")
-    return top(out, k, F.round("distance", 12), F.col("id"))
+    return top(out, k, F.col("distance"), F.col("id"))
 
 
 def near_pairs(vectors: DataFrame, queries: DataFrame, least: float, k: int) -> DataFrame:

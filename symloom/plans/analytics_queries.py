@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from symloom.operators import finalize as fin
 from symloom.operators import rollup as ru
 from symloom.plans import query
 from symloom.plans.projection import CTES, graph
-from symloom.runtime import Scratch, table
+from symloom.runtime import Scratch, input_mark, published, table
 
 
 def add(name: str, sql: str):
@@ -36,11 +38,12 @@ SUBSET = "case when external then 'external' when test then 'test' else 'interna
 STATS = f"""
 , st as (select 'language' scope, language "key", {SUBSET} subset, 'symbols' metric, count(*) "value" from g_symbols group by all
 union all select 'language', language, {SUBSET}, 'files', count(*) from g_files group by all
-union all select 'global', '', case when external then 'external' else 'internal' end, 'packages', count(*) from g_packages group by all)"""
+union all select 'language', s.language, case when s.external then 'external' when s.test then 'test' else 'internal' end, 'defs', count(*) from g_defs x join g_symbols s on s.id = x.sym_id group by all
+union all select 'manager', manager, case when external then 'external' else 'internal' end, 'packages', count(*) from g_packages group by all)"""
 
 
 def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return fin.entity_stats(*(graph(spark, d, f"g_{t}") for t in ("symbols", "files", "packages")))
+    return fin.entity_stats(*(graph(spark, d, f"g_{t}") for t in ("symbols", "files", "defs", "packages")))
 
 
 @add("f2_entity_stats", STATS + " select * from st")
@@ -175,29 +178,44 @@ fp as (select * from an where anchor_name <> '<unanchored>' and not external and
 mb as (select short_id id, community_id from g_communities)"""
 
 
+ROLLED_FROM = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem"]
+
+
 class Rolled:
-    """The rolled-up graph of the projection, written once for all that reads it."""
+    """The rolled-up graph of the projection: published once for a state of the tables, read by all queries of it."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.scratch = Scratch(spark, "rollup")
-        self.symbols = self.scratch.save(graph(spark, d, "g_symbols"), "symbols")
-        self.aggregates = ru.aggregate_ids(self.symbols, self.scratch)
-        self.edges = self.scratch.save(ru.aggregate_edges(graph(spark, d, "g_edges"), self.aggregates, self.symbols), "edges")
         self._inputs = (spark, d)
-        self._nodes = None
+        self.scratch = Scratch(spark, "rollup")
+        self.mark = input_mark(spark, d, ROLLED_FROM)
+
+    def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return published(self._inputs[0], f"rollup-{name}", self.mark, build)
+
+    @property
+    def symbols(self) -> DataFrame:
+        return self._table("symbols", lambda: graph(*self._inputs, "g_symbols"))
+
+    @property
+    def edges(self) -> DataFrame:
+        def build() -> DataFrame:
+            aggregates = ru.aggregate_ids(self.symbols, self.scratch)
+            return ru.aggregate_edges(graph(*self._inputs, "g_edges"), aggregates, self.symbols)
+
+        return self._table("edges", build)
 
     @property
     def nodes(self) -> DataFrame:
-        """Written once, as most queries read them more than once."""
-        if self._nodes is None:
-            spark, d = self._inputs
-            nodes = ru.aggregate_nodes(self.edges, self.symbols, *(graph(spark, d, f"g_{t}") for t in ("packages", "defs", "files")))
-            self._nodes = self.scratch.save(nodes, "nodes")
-        return self._nodes
+        others = (graph(*self._inputs, f"g_{t}") for t in ("packages", "defs", "files"))
+        return self._table("nodes", lambda: ru.aggregate_nodes(self.edges, self.symbols, *others))
 
     @property
     def pairs(self) -> DataFrame:
-        return an.collapse(self.edges)
+        return self._table("pairs", lambda: an.collapse(self.edges))
+
+    @property
+    def degrees(self) -> DataFrame:
+        return self._table("degrees", lambda: an.weighted_degree(self.pairs))
 
     @property
     def membership(self) -> DataFrame:
@@ -264,7 +282,7 @@ def k1(spark: SparkSession, d: str) -> DataFrame:
 
 @add("k2_weighted_degree", AGG + " select * from dg")
 def k2(spark: SparkSession, d: str) -> DataFrame:
-    return an.weighted_degree(Rolled(spark, d).pairs)
+    return Rolled(spark, d).degrees
 
 
 GODS = """, gn as (select case when external then 'external' when test then 'test' else 'live' end "filter", an.id short_id, coalesce(degree, 0) weighted_degree, name from an left join dg using (id)),
@@ -274,7 +292,7 @@ gods as (select * from (select *, row_number() over (partition by "filter" order
 @add("k3_god_nodes", AGG + GODS + ' select "filter", "rank", short_id, weighted_degree, name from gods')
 def k3(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
-    return an.god_nodes(r.nodes, an.weighted_degree(r.pairs))
+    return an.god_nodes(r.nodes, r.degrees)
 
 
 @add(
@@ -319,7 +337,7 @@ select community_id, sum(n)::bigint size, sum(w)::bigint total_weight, count(*)
 )
 def k7(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
-    return an.community_records(r.nodes, an.weighted_degree(r.pairs), r.membership)
+    return an.community_records(r.nodes, r.degrees, r.membership)
 
 
 @add("k9_membership", AGG + " select an.id short_id, coalesce(case when community_id % 3 > 0 then community_id end, 4294967295) flat_community_id, 4294967295 anchored_leaf_community_id from an left join mb using (id)")
@@ -339,7 +357,7 @@ select b."language", nodes, coalesce(g.n, 0) god_nodes, (select count(*) from cl
 def k10(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
     nodes = r.nodes
-    return an.graph_stats(nodes, an.god_nodes(nodes, an.weighted_degree(r.pairs)), r.membership)
+    return an.graph_stats(nodes, an.god_nodes(nodes, r.degrees), r.membership)
 
 
 # axes ----------------------------------------------------------------------------------------
@@ -449,7 +467,7 @@ select community_id, count(*) size, max(n_links) n_links, count(distinct pkg) n_
 @add("x3_domains", AGG + DOMAINS)
 def x3(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
-    return ax.domains(r.nodes, r.edges, r.membership)
+    return ax.domains(r.nodes, r.edges, r.membership, r.scratch)
 
 
 @add("k11_earned_domains", AGG + DOMAINS[: DOMAINS.rindex("select community_id")] + "select count(distinct community_id) domains from dom")
@@ -490,7 +508,7 @@ def x6(spark: SparkSession, d: str) -> DataFrame:
 @add("z1_supernodes", AGG + " select anchor_name, count(*) n_nodes, sum(coalesce(degree, 0))::bigint degree from an left join dg using (id) group by 1")
 def z1(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
-    return ax.supernodes(r.nodes, an.weighted_degree(r.pairs))
+    return ax.supernodes(r.nodes, r.degrees)
 
 
 @add("z2_bundles", AGG + " select least(x.anchor_name, y.anchor_name) a, greatest(x.anchor_name, y.anchor_name) b, sum(weight)::bigint weight, count(*) n from pr join an x on x.id = a join an y on y.id = b where x.anchor_name <> y.anchor_name group by all")

@@ -29,7 +29,7 @@ def build_snapshot(spark: SparkSession, store: SnapshotStore, run: str, graph: d
     derived = {
         "aggregate_nodes": nodes, "aggregate_edges": edges, "analysis_god_nodes": gods,
         "knowledge_names": fin.name_rows(symbols, written["symbol_docs"]), "knowledge_docs": fin.doc_rows(symbols, written["symbol_docs"]),
-        "name_words": fin.name_words(symbols), "stats": fin.entity_stats(symbols, written["files"], written["packages"]),
+        "name_words": fin.name_words(symbols), "stats": fin.entity_stats(symbols, written["files"], written["defs"], written["packages"]),
     }
     if cluster:
         inner = nodes.where("not external").select("id", F.lit("all").alias("part"))

@@ -22,7 +22,7 @@ from symloom.streaming import watch
 @query("q14_scan_god_nodes", CTES + AGG + GODS + " select \"rank\", short_id, name from gods where \"filter\" = 'live' order by \"rank\"")
 def q14(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
-    return an.god_nodes(r.nodes, an.weighted_degree(r.pairs)).where("filter = 'live'").select("rank", "short_id", "name").orderBy("rank")
+    return an.god_nodes(r.nodes, r.degrees).where("filter = 'live'").select("rank", "short_id", "name").orderBy("rank")
 
 
 @query("q14_scan_aggregate_edges", CTES + AGG + " select kind, count(*) n, sum(weight)::bigint weight from ae group by kind")

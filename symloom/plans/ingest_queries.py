@@ -305,7 +305,7 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     return ss.bursts(table(spark, d, "events"), "user_id", "ts", "6 hours")
 
 
-@query("t2_path_filter", "select distinct path from session_files where path is not null and not list_has_any(string_split(path, '/'), ['.git', 'node_modules', 'target', 'dist', 'build', '__pycache__', '.venv']) and lower(regexp_extract(path, '\\.([^./]+)$', 1)) in ('rs', 'py', 'go', 'ts') and not regexp_matches(path, 'ledger')")
+@query("t2_path_filter", "select distinct path from session_files where path is not null and not list_has_any(string_split(path, '/'), ['node_modules', 'target', 'bin', 'obj', '.git', '.symloom']) and lower(regexp_extract(path, '\\.([^./]+)$', 1)) in ('rs', 'py', 'go', 'ts') and not regexp_matches(path, 'ledger')")
 def t2(spark: SparkSession, d: str) -> DataFrame:
     from symloom.streaming.watch import relevant
 

@@ -7,8 +7,10 @@ them again after another executor is lost.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,12 @@ class Files:
         if not self._fs.rename(self._path(tmp), self._path(path)):
             raise OSError(f"cannot publish {path}")
 
+    def publish(self, made: str, path: str) -> None:
+        """Move a written folder to its place, unless another one has come there first."""
+        self._fs.mkdirs(self._path(path).getParent())
+        if self.exists(path) or not self._fs.rename(self._path(made), self._path(path)):
+            self.delete(made)
+
     def create_text(self, path: str, text: str) -> None:
         """A new file under a name that one caller alone can take: whoever finds it taken gets an error.
 
@@ -136,6 +144,36 @@ class Scratch:
         self.files.delete(path)
 
 
+def input_mark(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
+    """A mark of the state of tables: paths, lengths and times of their files."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+    for name in sorted(names):
+        todo = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")]
+        while todo:
+            for f in fs.listStatus(todo.pop()):
+                if f.isDirectory():
+                    todo.append(f.getPath())
+                seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+
+
+def published(spark: SparkSession, name: str, mark: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` derived from inputs in the state ``mark``: built and written once, then read by all.
+
+    It lies in the shared folder under its name and mark, so other inputs never meet it, and appears whole by
+    a rename; of two builders at once the later one's copy is dropped.
+    """
+    root = f"{shared_dir(spark)}/symloom/published"
+    files, where = Files(spark, root), f"{root}/{name}-{mark}"
+    if not files.exists(f"{where}/_SUCCESS"):
+        part = f"{root}/_tmp/{uuid.uuid4().hex}"
+        build().write.mode("overwrite").parquet(part)
+        files.publish(part, where)
+    return spark.read.parquet(where)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Enough partitions for the cores before a stage of Python work: a small table is dealt out evenly.
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SKIPPED_DIRS = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv")
+# Directories whose changes never count; the last is this library's own store.
+SKIPPED_DIRS = ("node_modules", "target", "bin", "obj", ".git", ".symloom")
 
 
 def relevant(events: DataFrame, extensions: tuple[str, ...], excludes: tuple[str, ...] = ()) -> DataFrame:
