@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -39,37 +41,28 @@ def split_text(text: str, target: int = 1_000, overlap: int = 150) -> list[tuple
     A chunk ends after the last blank line in its window, else after the last line break, else at the window's
     end; the next one starts ``overlap`` bytes before that, but always further on. Blank chunks are left out.
     """
-    raw = text.encode("utf-8", "replace")
-    if not text.strip():
-        return []
-    target = max(1, target)
-
-    def floor(i: int) -> int:
-        i = min(i, len(raw))
-        while 0 < i < len(raw) and raw[i] & 0xC0 == 0x80:
-            i -= 1
-        return i
-
-    out, start, n = [], 0, len(raw)
-    while start < n:
-        if n - start <= target:
-            end = n
+    # all in letters: weight[i] is the number of bytes before letter i, so limits in bytes are looked up in it
+    weight = range(len(text) + 1) if text.isascii() else [0, *accumulate(len(c.encode("utf-8", "replace")) for c in text)]
+    lines = [m.end() for m in re.finditer("\n", text)]
+    blanks = [m.end() + 1 for m in re.finditer("\n(?=\n)", text)]
+
+    def within(breaks: list[int], low: int, high: int) -> int | None:
+        at = bisect_right(breaks, high) - 1
+        return breaks[at] if at >= 0 and breaks[at] >= low else None
+
+    out, at = [], 0
+    while at < len(text):
+        reach = max(at + 1, bisect_right(weight, weight[at] + max(1, target)) - 1)
+        if reach == len(text):
+            end = reach
         else:
-            hard = floor(start + target)
-            if hard <= start:
-                hard = start + 1
-                while hard < n and raw[hard] & 0xC0 == 0x80:
-                    hard += 1
-            window = raw[start:hard]
-            cut = window.rfind(b"\n\n") + 2 if b"\n\n" in window else window.rfind(b"\n") + 1 if b"\n" in window else len(window)
-            end = start + cut
-        piece = raw[start:end].decode()
-        if piece.strip():
-            out.append((len(out), piece, raw.count(b"\n", 0, start) + 1, raw.count(b"\n", 0, end - 1) + 1))
-        if end == n:
+            end = within(blanks, at + 2, reach) or within(lines, at + 1, reach) or reach
+        if text[at:end].strip():
+            out.append((len(out), text[at:end], bisect_right(lines, at) + 1, bisect_right(lines, end - 1) + 1))
+        if end == len(text):
             break
-        nxt = floor(max(0, end - overlap))
-        start = nxt if nxt > start else end
+        back = bisect_right(weight, max(0, weight[end] - overlap)) - 1
+        at = back if back > at else end
     return out
 
 
