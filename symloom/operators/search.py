@@ -238,6 +238,25 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1_024) -> D
     return top(out, k, F.col("distance"), F.col("id"))
 
 
+def hybrid(lexical: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """qid, id, score, rank: the ``limit`` best of a lexical score plus the cosine, a plain sum, exact.
+
+    ``lexical``: qid, id, score of not less than zero; ``vectors``: id, vec, one an id; ``queries``: qid, vec.
+    A row that no word finds is in the result only if fewer than ``limit`` rows have a greater cosine, so the
+    nearest ``limit`` a query are enough beside the lexical hits, whose cosines are computed each. A row without
+    vector or a query without vector scores by its words alone.
+    """
+    v = vectors.select("id", F.col("vec").alias("__v"))
+    asked = queries.select("qid", F.col("vec").alias("__q"))
+    hits = lexical.join(v, "id", "left").join(asked, "qid", "left")
+    words_and = hits.select("qid", "id", (F.col("score") + F.coalesce(dot(unit(F.col("__v")), unit(F.col("__q"))), F.lit(0.0))).alias("score"))
+    keyed = vectors.select(F.xxhash64("id").alias("id"), "vec", F.col("id").alias("__id"))
+    near = knn(keyed, queries, limit).join(keyed.select("id", "__id"), "id")
+    alone = near.select("qid", F.col("__id").alias("id"), (1 - F.col("distance")).alias("score")).join(lexical.select("qid", "id"), ["qid", "id"], "left_anti")
+    out = top(words_and.unionByName(alone), limit, F.desc(F.round("score", 9)), F.col("id"))
+    return out.select("qid", "id", "score", F.col("rn").alias("rank"))
+
+
 def near_pairs(vectors: DataFrame, queries: DataFrame, least: float, k: int) -> DataFrame:
     """qid, id, cosine of the at most k vectors with a cosine of ``least``; the query itself is left out."""
     n = knn(vectors, queries, k + 1).where("id <> qid").withColumn("cosine", 1 - F.col("distance")).where(F.col("cosine") >= least)

@@ -90,10 +90,11 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
     return _name_rows(spark, d)
 
 
-@query("f3_fingerprints")
+@add("f3_fingerprints", NAME_ROWS.replace("select 'name:'", ", nr as (select 'name:'") + ') select id, min(id) over (partition by doc) first_id from nr where doc is not null')
 def f3b(spark: SparkSession, d: str) -> DataFrame:
-    """XXH3 fingerprints of the docs; SQL has no such function, a test compares them with the library."""
-    return _name_rows(spark, d).where("doc is not null").select("id", xxh3_64("doc").alias("fingerprint"))
+    """The first symbol of equal docs, by XXH3 fingerprints; a test compares the fingerprints with the library."""
+    rows = _name_rows(spark, d).where("doc is not null").select("id", xxh3_64("doc").alias("fingerprint"))
+    return rows.join(rows.groupBy("fingerprint").agg(F.min("id").alias("first_id")), "fingerprint").select("id", "first_id")
 
 
 @add("f4_doc_rows", "select 'doc:' || s.\"language\" || ':' || s.pub_id embed_key, s.id, t.doc doc_text from g_symbols s join g_docs t on t.sym_id = s.id where t.doc <> ''")

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators import analytics as an
-from symloom.operators import findings as fd
 from symloom.operators import rollup as ru
-from symloom.operators import search as se
 from symloom.plans import query
 from symloom.plans.analytics_queries import AGG, GODS, Rolled
 from symloom.plans.build import build_snapshot
 from symloom.plans.projection import CTES, graph
-from symloom.plans.search_queries import BLENDED, FINDINGS, _blended, _findings, terms, words_sql
+from symloom.plans.search_queries import FINDINGS, HITS, blended_hits, hybrid_findings, hybrid_sql, terms, words_sql
 from symloom.runtime import Scratch, table
 from symloom.sources.snapshot import SnapshotStore
 from symloom.streaming import watch
@@ -32,14 +30,13 @@ def q14b(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "v7_semantic_search",
-    CTES + BLENDED + ", " + FINDINGS[len("with ") :] + ", ysrc as (select id, \"text\" from lv where \"text\" is not null), " + words_sql("ysrc", "q", "y") + """
-select 'code' arm, qid, id::varchar id, score from bo where "rank" <= 30 union all select 'finding', qid, id, round(score, 6) from ysc""",
+    CTES + HITS + ", " + FINDINGS[len("with ") :] + ", ysrc as (select id, \"text\" from lv where \"text\" is not null), " + words_sql("ysrc", "q", "y") + "," + hybrid_sql("ysc", "q", "h", 30) + """
+select hit_type arm, qid, id::varchar id, score, pos from hits union all select 'finding', qid, id, score, "rank" from htop""",
 )
 def v7(spark: SparkSession, d: str) -> DataFrame:
-    """Code and findings for the same queries; the two arms' scores are not comparable."""
-    rows = fd.live(_findings(spark, d)).where("text is not null").select("id", "text")
-    found = se.word_scores(rows, terms(spark)).select(F.lit("finding").alias("arm"), "qid", "id", F.round("score", 6).alias("score"))
-    return _blended(spark, d).select(F.lit("code").alias("arm"), "qid", F.col("id").cast("string").alias("id"), "score").unionByName(found)
+    """Code, file docs and findings for the same queries, words and vectors in both arms; their scores are not comparable."""
+    found = hybrid_findings(spark, d, terms(spark), 30).select(F.lit("finding").alias("arm"), "qid", "id", "score", F.col("rank").alias("pos"))
+    return blended_hits(spark, d).select(F.col("hit_type").alias("arm"), "qid", F.col("id").cast("string").alias("id"), "score", "pos").unionByName(found)
 
 
 @query("s5_write_tables", CTES + " select kind, count(*) n, min(name_lower) first_name from g_symbols group by kind")

@@ -17,16 +17,37 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("key"), "text")
 
 
-@query("content_p01_text_chunks")
+COMPOSED = "(select c_custkey \"key\", 12 + c_custkey % 40 n from customer)"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").selectExpr("c_custkey key", "repeat('abcdefghi\n', cast(12 + c_custkey % 40 as int)) text")
+
+
+@query(
+    "content_p01_text_chunks",
+    f"""select "key", k::int ordinal, repeat('abcdefghi' || chr(10), least(10, n - 8 * k)::int) chunk, (8 * k + 1)::int first_line, least(8 * k + 10, n)::int last_line
+from {COMPOSED}, generate_series(0, 10) g(k) where k = 0 or 8 * (k - 1) + 10 < n""",
+)
 def p01(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of lines of ten bytes: chunks of ten lines, two of them again in the next one."""
+    return co.chunks(_lines(spark, d), 100, 20)
+
+
+@query("content_p01_documents")
+def p01_documents(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents; a test compares them with a plain reading of the rule."""
     return co.chunks(_docs(spark, d))
 
 
-@query("content_p02_text_graph")
+@query(
+    "content_p02_text_graph",
+    f"""with c as (select "key"::varchar k, 't' || "key" || '#' || k node from {COMPOSED}, generate_series(0, 10) g(k) where k = 0 or 8 * (k - 1) + 10 < n)
+select k src, node dst, 'contains' kind from c union all select node, k, 'defined_in' from c""",
+)
 def p02(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("path is not null").select(F.col("doc_id").alias("key"), "path")
-    return co.text_graph(co.chunks(_docs(spark, d)), docs)
+    docs = table(spark, d, "customer").selectExpr("c_custkey key", "concat('a/b/t', c_custkey, '.txt') path")
+    return co.text_graph(co.chunks(_lines(spark, d), 100, 20), docs)
 
 
 @query("content_p03_slugs", "select distinct name, regexp_replace(regexp_replace(lower(trim(name)), '[^\\p{L}\\p{N}\\s_-]', '', 'g'), '\\s', '-', 'g') slug from (select replace(p_name, ' ', case p_size % 3 when 0 then ' & ' when 1 then '. ' else '_' end) name from part)")
@@ -35,20 +56,59 @@ def p03(spark: SparkSession, d: str) -> DataFrame:
     return n.select("name", slug(F.col("name")).alias("slug"))
 
 
-@query("content_p03_front_matter")
+@query(
+    "content_p03_front_matter",
+    """select "key", field, entry from (select c_custkey "key", unnest([struct_pack(field := 'title', entry := 'T ' || c_custkey), struct_pack(field := 'aliases', entry := 'A' || c_custkey), struct_pack(field := 'aliases', entry := 'b c'),
+struct_pack(field := 'related', entry := 'R' || c_custkey), struct_pack(field := 'related', entry := 'x')], recursive := true) from customer where c_custkey % 3 <> 0)""",
+)
 def p03b(spark: SparkSession, d: str) -> DataFrame:
-    return ps.flat_map(_docs(spark, d), ps.front_matter, "key long, field string, entry string")
+    """Two of three texts have a front matter; a rule further down is none."""
+    t = table(spark, d, "customer").selectExpr(
+        "c_custkey key",
+        "concat(if(c_custkey % 3 = 0, 'Text.\\n', ''), '---\\ntitle: T ', c_custkey, '\\naliases: [A', c_custkey, ', \"b c\"]\\nother: [q]\\nrelated:\\n  - R', c_custkey, '\\n  - x\\n---\\nbody: no') text",
+    )
+    return ps.flat_map(t, ps.front_matter, "key long, field string, entry string")
 
 
-@query("content_p04_sections")
+SECTION = "key long, ordinal int, level int, title string, slug string, first_line int, last_line int, parent int"
+
+
+@query(
+    "content_p04_sections",
+    """select c_custkey "key", x.o ordinal, x.l "level", x.t title, x.s slug, x.a first_line, x.b last_line, x.p parent from customer, lateral (select unnest([
+struct_pack(o := 0, l := 1, t := 'Top ' || c_custkey, s := 'top-' || c_custkey, a := 1, b := 13, p := -1), struct_pack(o := 1, l := 2, t := 'Part', s := 'part', a := 5, b := 10, p := 0),
+struct_pack(o := 2, l := 2, t := 'Part', s := 'part-1', a := 11, b := 13, p := 0)]) x)""",
+)
 def p04(spark: SparkSession, d: str) -> DataFrame:
-    return ps.flat_map(_docs(spark, d), ps.sections, "key long, ordinal int, level int, title string, slug string, first_line int, last_line int, parent int")
+    """A heading, two of one name below it and one in a fence, which is none."""
+    t = table(spark, d, "customer").selectExpr("c_custkey key", "concat('# Top ', c_custkey, '\\n\\nText.\\n\\n## Part\\n\\n```\\n# no\\n```\\n\\n## Part\\n\\nx') text")
+    return ps.flat_map(t, ps.sections, SECTION)
+
+
+@query("content_p04_documents")
+def p04_documents(spark: SparkSession, d: str) -> DataFrame:
+    return ps.flat_map(_docs(spark, d), ps.sections, SECTION)
 
 
-@query("content_p05_links")
+LINK = "key long, line int, kind string, target string, anchor string, label string"
+
+
+@query(
+    "content_p05_links",
+    """select c_custkey "key", x.l line, x.k kind, x.t target, x.a anchor, x.b "label" from customer, lateral (select unnest([
+struct_pack(l := 1, k := 'link', t := 'a/b' || c_custkey || '.md', a := 'top', b := 'one'), struct_pack(l := 1, k := 'wiki', t := 'Page ' || c_custkey, a := '', b := 'shown'),
+struct_pack(l := 2, k := 'image', t := 'img/x' || c_custkey || '.png', a := '', b := 'pic'), struct_pack(l := 2, k := 'embed', t := 'Note ' || c_custkey, a := 'sec', b := '')]) x)""",
+)
 def p05(spark: SparkSession, d: str) -> DataFrame:
+    """An inline link, a wiki link, an image and an embedding; code holds no links."""
+    t = table(spark, d, "customer").selectExpr("c_custkey key", "concat('See [one](a/b', c_custkey, '.md#top) and [[Page ', c_custkey, '|shown]].\\n![pic](img/x', c_custkey, '.png) ![[Note ', c_custkey, '#sec]] `[no](x)`') text")
+    return ps.flat_map(t, ps.links, LINK)
+
+
+@query("content_p05_documents")
+def p05_documents(spark: SparkSession, d: str) -> DataFrame:
     both = _docs(spark, d).unionByName(table(spark, d, "file_docs").where("doc is not null").select(F.col("file_id").alias("key"), F.col("doc").alias("text")))
-    return ps.flat_map(both, ps.links, "key long, line int, kind string, target string, anchor string, label string")
+    return ps.flat_map(both, ps.links, LINK)
 
 
 LINKED = """with pg as (select doc_id id, path, row_number() over (order by doc_id) rn from documents where path is not null),

@@ -172,7 +172,11 @@ def v3(spark: SparkSession, d: str) -> DataFrame:
     return se.rrf(arms).select("qid", "id", F.round("score", 6).alias("score"))
 
 
-BLENDED = BLEND + f""", br as (select qid, s.id, score + case when lower(s.name) = lower(q) then 1 else 0 end score, s.name from fo join g_symbols s using (id) join q using (qid) where {LIVE}),
+# vectors of symbols: every embedding stands for the function of its number; a query has the vector of its own number
+VECTOR_ARM = """, vd as (select a.vec_id qid, 4000000 + b.vec_id id, 1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]) x from embeddings a join q on q.qid = a.vec_id, embeddings b),
+vr as (select qid, id, rn from (select *, row_number() over (partition by qid order by round(x, 12), id) rn from vd) where rn <= 240),
+fv as (select qid, id, sum(score) score from (select qid, id, score from fo union all select qid, id, (1.0 / (60 + rn))::double from vr) group by all)"""
+BLENDED = BLEND + VECTOR_ARM + f""", br as (select qid, s.id, score + case when lower(s.name) = lower(q) then 1 else 0 end score, s.name from fv join g_symbols s using (id) join q using (qid) where {LIVE}),
 bo as (select qid, id, round(score, 6) score, row_number() over (partition by qid order by round(score, 9) desc, length(name), id) "rank" from br)"""
 
 
@@ -180,7 +184,10 @@ def _blended(spark: SparkSession, d: str) -> DataFrame:
     docs = graph(spark, d, "g_docs")
     sigs = docs.groupBy(F.col("sym_id").alias("id")).agg(F.min("sig").alias("text"))
     texts = docs.where("doc is not null").select(F.col("sym_id").alias("id"), F.col("doc").alias("text"))
-    return se.blended(graph(spark, d, "g_symbols"), sigs, texts, terms(spark), 30).withColumn("score", F.round("score", 6))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = v.withColumnRenamed("id", "qid").join(terms(spark).select("qid"), "qid", "left_semi")
+    near = se.knn(v.withColumn("id", F.col("id") + 4_000_000), asked, 240).select("qid", "id", "rn")
+    return se.blended(graph(spark, d, "g_symbols"), sigs, texts, terms(spark), 30, near).withColumn("score", F.round("score", 6))
 
 
 @add("v4_blended_search", BLENDED + ' select * from bo where "rank" <= 30')
@@ -194,20 +201,24 @@ def v6(spark: SparkSession, d: str) -> DataFrame:
     return _blended(spark, d).where("rank between 11 and 20").select("qid", "id", "rank")
 
 
-@add(
-    "v5_blended_hits",
-    BLENDED + ", fsrc as (select file_id id, doc \"text\" from file_docs where doc is not null), " + words_sql("fsrc", "q", "f") + """,
-hh as (select 'symbol' hit_type, qid, id, score from bo where "rank" <= 30 union all select 'file', qid, id, round(score, 6) from fsc)
-select hit_type, qid, id, score, row_number() over (partition by qid order by score desc, hit_type desc, id) pos from hh""",
-)
-def v5(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols by folded ranks and file docs by BM25 on one list, although the scales differ; symbols first on ties."""
+HITS = BLENDED + ", fsrc as (select file_id id, doc \"text\" from file_docs where doc is not null), " + words_sql("fsrc", "q", "f") + """,
+hh as (select 'symbol' hit_type, qid, id, score from bo where "rank" <= 30 union all select 'file', qid, id, round(score, 6) from fsc),
+hits as (select hit_type, qid, id, score, row_number() over (partition by qid order by score desc, hit_type desc, id) pos from hh)"""
+
+
+def blended_hits(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "file_docs").where("doc is not null").select(F.col("file_id").alias("id"), F.col("doc").alias("text"))
     files = se.word_scores(f, terms(spark)).select(F.lit("file").alias("hit_type"), "qid", "id", F.round("score", 6).alias("score"))
     both = _blended(spark, d).select(F.lit("symbol").alias("hit_type"), "qid", "id", "score").unionByName(files)
     return both.withColumn("pos", F.expr("row_number() over (partition by qid order by score desc, hit_type desc, id)"))
 
 
+@add("v5_blended_hits", HITS + " select * from hits")
+def v5(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols by folded ranks and file docs by BM25 on one list, although the scales differ; symbols first on ties."""
+    return blended_hits(spark, d)
+
+
 # vectors: every twentieth row asks, all rows answer ------------------------------------------
 
 KNN = """with e as (select vec_id id, embedding::double[] v, label from embeddings),
@@ -370,22 +381,28 @@ def l11(spark: SparkSession, d: str) -> DataFrame:
     return se.word_scores(rows, spark.createDataFrame(DOC_TERMS, "qid long, q string")).select("qid", "id", F.round("score", 6).alias("score"))
 
 
-@query(
-    "v8_hybrid_findings",
-    FINDINGS + DQ + ", src as (select id, \"text\" from lv where \"text\" is not null), " + words_sql("src", "dq", "w") + """, cs as (select q.vec_id % 4 + 1 qid, 'fnd_' || b.vec_id id, max(list_cosine_similarity(q.embedding::double[], b.embedding::double[])) c from embeddings q, embeddings b where q.vec_id < 4 group by all),
-al as (select coalesce(w.qid, c.qid) qid, coalesce(w.id, c.id) id, coalesce(w.score, 0) + coalesce(c.c, 0) score from wsc w full join (select * from cs where id in (select id from lv)) c on c.qid = w.qid and c.id = w.id)
-select qid, id, round(score, 6) score from al""",
-)
-def v8(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 plus cosine, a plain sum over live findings; vectors carry the findings' numbers."""
-    rows = fd.live(_findings(spark, d)).where("text is not null").select("id", "text")
-    lex = se.word_scores(rows, spark.createDataFrame(DOC_TERMS, "qid long, q string"))
+def hybrid_sql(lexical: str, q: str, tag: str, n: int) -> str:
+    """BM25 of ``lexical`` plus cosine over the live findings ``lv``: the ``n`` best of each query as <tag>top."""
+    return f"""
+{tag}cs as (select a.vec_id qid, 'fnd_' || b.vec_id id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) c from embeddings a join {q} on {q}.qid = a.vec_id, embeddings b where 'fnd_' || b.vec_id in (select id from lv)),
+{tag}al as (select coalesce(w.qid, c.qid) qid, coalesce(w.id, c.id) id, coalesce(w.score, 0) + coalesce(c.c, 0) score from {lexical} w full join {tag}cs c on c.qid = w.qid and c.id = w.id),
+{tag}top as (select qid, id, round(score, 6) score, "rank" from (select *, row_number() over (partition by qid order by round(score, 9) desc, id) "rank" from {tag}al) where "rank" <= {n})"""
+
+
+def hybrid_findings(spark: SparkSession, d: str, queries: DataFrame, limit: int) -> DataFrame:
+    """Live findings by words and vectors; a finding has the vector of its number."""
+    live = fd.live(_findings(spark, d))
+    lex = se.word_scores(live.where("text is not null").select("id", "text"), queries)
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = v.where("id < 4").select((F.col("id") + 1).alias("qid"), "vec")
-    cos = se.knn(v, q, 1_000_000).select("qid", F.concat(F.lit("fnd_"), "id").alias("id"), (1 - F.col("distance")).alias("c"))
-    cos = cos.join(fd.live(_findings(spark, d)).select("id"), "id", "left_semi")
-    j = lex.join(cos, ["qid", "id"], "full_outer")
-    return j.select("qid", "id", F.round(F.coalesce("score", F.lit(0.0)) + F.coalesce("c", F.lit(0.0)), 6).alias("score"))
+    own = v.withColumn("id", F.concat(F.lit("fnd_"), "id")).join(live.select("id"), "id", "left_semi")
+    asked = v.withColumnRenamed("id", "qid").join(queries.select("qid"), "qid", "left_semi")
+    return se.hybrid(lex, own, asked, limit).withColumn("score", F.round("score", 6))
+
+
+@query("v8_hybrid_findings", FINDINGS + DQ + ", src as (select id, \"text\" from lv where \"text\" is not null), " + words_sql("src", "dq", "w") + "," + hybrid_sql("wsc", "dq", "h", 50) + ' select qid, id, score, "rank" from htop')
+def v8(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 plus cosine, a plain sum over live findings."""
+    return hybrid_findings(spark, d, spark.createDataFrame(DOC_TERMS, "qid long, q string"), 50)
 
 
 @query("r5_check_anchors", FINDINGS + """, nf as (select path, 'sha' || (min(id) % 4) now from files where path is not null group by path union all select path, 'sha' || (min(id) % 4) from session_files where path is not null and id % 2 = 0 and path not in (select path from files where path is not null) group by path),
