@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.words import words
+from symloom.runtime import Scratch
 
 PATTERN = 5
 BLOCK = 2
@@ -33,25 +34,32 @@ BAND = 12  # words that a passage may drift from its diagonal by words left out
 BLOCK_WORDS = 2_000_000  # words of test items searched for in one pass over the documents
 
 
-def item_words(rows: list[tuple[int, str | None, str | None]]) -> dict[int, list[bytes]]:
-    """Words of each (item_id, suite, text) without the instruction sentence its suite opens with.
+def opening(text: str | None) -> bytes:
+    """Words of a text's first sentence."""
+    return b" ".join(words(re.split(r"(?<=[.?!:])\s", (text or "").lstrip(), maxsplit=1)[0]))
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """item_id, words, n: the words, parted by blanks, of each (item_id, suite, text) without the sentence its suite opens with.
 
     A first sentence is an instruction if at least half of a suite's items, and at least two, have it.
-    Repeated items count once; items without words are left out.
+    Repeated items count once (the greatest suite and text); items without id or words are left out.
     """
-    firsts: dict[str | None, Counter] = defaultdict(Counter)
-    items = {i: (suite, text or "") for i, suite, text in rows if i is not None}
-    opening = {}
-    for i, (suite, text) in items.items():
-        opening[i] = tuple(words(re.split(r"(?<=[.?!:])\s", text.lstrip(), maxsplit=1)[0]))
-        firsts[suite][opening[i]] += 1
-    sizes = Counter(s for s, _ in items.values())
-    out = {}
-    for i, (suite, text) in items.items():
-        n = firsts[suite][opening[i]]
-        w = words(text)
-        out[i] = w[len(opening[i]) :] if n >= 2 and 2 * n >= sizes[suite] else w
-    return {i: w for i, w in out.items() if w}
+    once = items.where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(F.struct("suite", "text")).alias("m")).select("item_id", "m.suite", "m.text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            first, all_words = [opening(t) for t in texts], [b" ".join(words(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first, pa.binary()), pa.array(all_words, pa.binary())], ["item_id", "suite", "first", "words"])
+
+    rows = once.mapInArrow(read, "item_id long, suite string, first binary, words binary").withColumn("suite", F.struct("suite"))
+    per = rows.groupBy("suite", "first").agg(F.count(F.lit(1)).alias("k"))
+    size = per.groupBy("suite").agg(F.sum("k").alias("all"))
+    told = per.join(size, "suite").where("k >= 2 and 2 * k >= all").select("suite", "first", F.lit(True).alias("told"))
+    rest = F.when(F.col("told"), F.expr("substring(words, length(first) + 2)")).otherwise(F.col("words"))
+    out = rows.join(told, ["suite", "first"], "left").select("item_id", rest.alias("words")).where(F.octet_length("words") > 0)
+    return out.withColumn("n", F.size(F.split(F.col("words").cast("string"), " ")))
 
 
 class Searcher:
@@ -92,8 +100,11 @@ class Searcher:
 
     def leaks(self, text: str | None) -> list[int]:
         """Items of which the text holds a passage."""
+        return self.in_words(words(text))
+
+    def in_words(self, text: list[bytes]) -> list[int]:
         get = self.vocabulary.get
-        ids = [get(w, -1) for w in words(text)]
+        ids = [get(w, -1) for w in text]
         if len(ids) < WINDOWS[0][1]:
             return []
         out = []
@@ -154,37 +165,49 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(b) - row.bit_count()
 
 
-def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, item_id: documents (doc_id, text) that hold a passage of an item (item_id, suite, text).
 
-    The items go to the executors in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents
-    a block; the documents are never shuffled. Null or short texts hold nothing; a null doc_id is left out.
+    The items are made words and dealt to blocks of about ``BLOCK_WORDS`` words by the executors; a block at
+    a time passes the driver, which turns it into the tables that all tasks share. The documents are never
+    shuffled, and are made words only once: written so where there are several blocks, each a pass over them.
+    Null or short texts hold nothing; a null doc_id is left out.
     """
-    listed = item_words([tuple(r) for r in items.select("item_id", "suite", "text").toLocalIterator()])
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    out, block, size = None, {}, 0
-    for i, w in [*listed.items(), (None, [])]:
-        if block and (i is None or size + len(w) > BLOCK_WORDS):
-            part = _pass(docs, Searcher(block))
-            out = part if out is None else out.unionByName(part)
-            block, size = {}, 0
-        block[i], size = w, size + len(w)
-    if out is None:
+    listed = scratch.save(item_words(items), "items")
+    n = -(-(listed.agg(F.sum("n")).collect()[0][0] or 0) // BLOCK_WORDS)
+    if not n:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    listed = listed.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
+    texts, ready = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null"), False
+    if n > 1:
+        listed = scratch.save_by(listed, "block", "blocks")
+        texts, ready = scratch.save(texts.mapInArrow(_folded, "doc_id long, words binary"), "words"), True
+    out = None
+    for at in range(n):
+        block = {r.item_id: bytes(r.words).split() for r in listed.where(F.col("block") == at).toLocalIterator()}
+        part = _pass(texts, Searcher(block), ready)
+        out = part if out is None else out.unionByName(part)
     return out.dropDuplicates(["doc_id", "item_id"])
 
 
-def _pass(docs: DataFrame, searcher: Searcher) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(searcher)  # bounded by BLOCK_WORDS
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [b" ".join(words(t)) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "words"])
+
+
+def _pass(texts: DataFrame, searcher: Searcher, ready: bool) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(searcher)  # about BLOCK_WORDS words
+    split = bytes.split if ready else words
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaks = shared.value.leaks
+        leaks = shared.value.in_words
         for batch in batches:
             ids, found = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = leaks(text)
+                got = leaks(split(text))
                 ids += [doc] * len(got)
                 found += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, "doc_id long, item_id long")
+    return texts.mapInArrow(search, "doc_id long, item_id long")

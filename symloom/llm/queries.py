@@ -66,7 +66,7 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold passages of test items, with the items."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    return leakage.leaked_items(docs, table(spark, d, "bench_items"))
+    return leakage.leaked_items(docs, table(spark, d, "bench_items"), Scratch(spark, "leakage"))
 
 
 GRADED_KINDS = ("readme", "design_note", "changelog", "finding", "faq")

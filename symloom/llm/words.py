@@ -21,7 +21,8 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u034f"
 _ODD = LOOKALIKES | dict.fromkeys(INVISIBLE, "")
 _ODD_ONE = re.compile("[" + "".join(_ODD) + "]")
 _COMBINING = re.compile("[\u0300-\u036f]+")
-_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,200}>")
+# a short tag of any form, or one of any length that consists of attributes with values
+_TAG = re.compile(r"</?[A-Za-z!][^<>]{0,200}>|<[A-Za-z][\w:.-]*(?:\s+[\w:.@-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))+\s*/?>")
 _ENTITY = re.compile(r"&#?\w{1,31};")
 _BROKEN = re.compile(r"(?<=[A-Za-z])-[ \t]*\r?\n[ \t]*(?=[a-z])")
 _EDGE = re.compile(rb"(?<![0-9a-z])_+|_+(?![0-9a-z])")

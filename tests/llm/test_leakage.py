@@ -6,6 +6,7 @@ import random
 
 from symloom.llm import leakage
 from symloom.llm.words import words
+from symloom.runtime import Scratch
 
 SENTENCE = "Answer the question below."
 
@@ -64,11 +65,14 @@ def test_disguises_are_undone():
         assert searcher.leaks(text) == [1], text
 
 
-def test_short_passages_and_instructions_do_not_count():
+def test_short_passages_and_instructions_do_not_count(spark):
     rng = random.Random(6)
     bodies = [make(rng, 40) for _ in range(3)]
     long_intro = "Please read the following passage of the workspace with care and then choose the one answer that fits it best of all the given."
-    items = leakage.item_words([(i, "s", f"{long_intro} {' '.join(b)}") for i, b in enumerate(bodies)] + [(9, "t", " ".join(bodies[0]))])
+    rows = [(i, "s", f"{long_intro} {' '.join(b)}") for i, b in enumerate(bodies)] + [(9, "t", " ".join(bodies[0])), (None, "s", "x"), (11, "s", " "), (12, None, None)]
+    listed = leakage.item_words(spark.createDataFrame(rows, "item_id long, suite string, text string")).collect()
+    items = {r.item_id: bytes(r.words).split() for r in listed}
+    assert set(items) == {0, 1, 2, 9} and all(r.n == len(items[r.item_id]) for r in listed)
     assert items[0] == words(" ".join(bodies[0]))
     searcher = leakage.Searcher(items)
     assert searcher.leaks(long_intro) == []
@@ -84,13 +88,13 @@ def test_rows(spark):
         "doc_id long, text string, item_id int",
     )
     items = spark.createDataFrame([(7, "s", " ".join(w), "x"), (7, "s", " ".join(w), "y"), (8, None, None, "z")], "item_id long, suite string, text string, doc_id string")
-    assert sorted(map(tuple, leakage.leaked_items(docs, items).collect())) == [(20, 7), (80, 7)]
-    assert leakage.leaked_items(docs, items.where("false")).count() == 0
-    assert leakage.leaked_items(docs.where("false"), items).count() == 0
+    assert sorted(map(tuple, leakage.leaked_items(docs, items, Scratch(spark, "t")).collect())) == [(20, 7), (80, 7)]
+    assert leakage.leaked_items(docs, items.where("false"), Scratch(spark, "t")).count() == 0
+    assert leakage.leaked_items(docs.where("false"), items, Scratch(spark, "t")).count() == 0
     leakage.BLOCK_WORDS, was = 50, leakage.BLOCK_WORDS
     try:
         more = items.unionByName(spark.createDataFrame([(5, "q", " ".join(w[20:]), "x")], items.schema))
-        assert sorted(map(tuple, leakage.leaked_items(docs, more).collect())) == [(20, 7), (80, 5), (80, 7)]
+        assert sorted(map(tuple, leakage.leaked_items(docs, more, Scratch(spark, "t")).collect())) == [(20, 7), (80, 5), (80, 7)]
     finally:
         leakage.BLOCK_WORDS = was
 
@@ -144,3 +148,26 @@ def test_passages_that_no_window_of_20_words_holds():
     assert searcher.leaks(text(10, 33, (16, 21, 26))) == []
     # the passage 8 to 27 begins behind runs of a stretch that is too much changed
     assert searcher.leaks(text(0, 28, (5, 6, 7, 20, 25))) == [1]
+
+
+def test_recall_at_one_word_in_eight():
+    rng = random.Random(21)
+    items = {i: make(rng, 90, 4_000) for i in range(40)}
+    searcher = leakage.Searcher({i: words(" ".join(w)) for i, w in items.items()})
+    for n in range(20, 49, 2):
+        found = 0
+        for trial in range(40):
+            at = rng.randrange(91 - n)
+            w = items[trial][at : at + n]
+            for x in rng.sample(range(n), n // 8):
+                w[x] = rng.choice((f"y{x}", None))
+            found += trial in searcher.leaks(" ".join(make(rng, 50, 4_000) + [t for t in w if t] + make(rng, 50, 4_000)))
+        assert found >= 38, (n, found)
+
+
+def test_long_tags_interrupt_no_passage():
+    w = [f"w{i}" for i in range(40)]
+    searcher = leakage.Searcher({1: words(" ".join(w))})
+    tag = '<span class="' + "a b " * 200 + '" title="x > y">'
+    assert searcher.leaks(" ".join(w[:12]) + tag + " ".join(w[12:24])) == [1]
+    assert words("if a < b and c > d") == [b"if", b"a", b"b", b"and", b"c", b"d"]
