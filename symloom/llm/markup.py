@@ -90,7 +90,7 @@ PATTERNS: dict[str, re.Pattern] = {
     "indented": re.compile(r"^(?: {4}|\t| {2}(?=\S))"),
     "ruler": re.compile(r"^\W*$"),
     "sentence": re.compile(r"[a-z][.!?]\s*$"),
-    "title": re.compile(rf"^\s*(?:{_WORD}+\s*){{1,6}}$"),
+    "title": re.compile(rf"^\s*{_WORD}+(?:\s+{_WORD}+){{0,5}}\s*$"),
 }
 
 _LEADERS = (re.compile(r"^[ \t]*///?!?(?!/)[ \t]?"), re.compile(r"^[ \t]*#(?![#\w!\[])[ \t]?"), re.compile(r"^[ \t]*\*(?![*\w/])[ \t]?"), re.compile(r"^[ \t]*--(?!-)[ \t]"), re.compile(r"^[ \t]*;;?[ \t]"), re.compile(r"^[ \t]*%(?!\w)[ \t]?"))
@@ -272,22 +272,47 @@ class Field:
         self.emit = np.zeros((len(names) + 1, k))  # the last row stays zero: unknown features
         self.step = np.zeros((k, k))
         self.first = np.zeros(k)
+        self.__setstate__({})
 
-    def scores(self, rows: list[list[str]]) -> np.ndarray:
-        get = self.index.get
-        return np.array([self.emit[[i for i in map(get, f) if i is not None]].sum(axis=0) for f in rows])
+    KEPT = 50_000  # feature sets and sequences whose result is kept before the tables start anew
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._emitted: dict[tuple[str, ...], np.ndarray] = {}
+        self._paths: dict[tuple[tuple[str, ...], ...], list[int]] = {}
+
+    def _emission(self, f: tuple[str, ...]) -> np.ndarray:
+        e = self._emitted.get(f)
+        if e is None:
+            if len(self._emitted) >= self.KEPT:
+                self._emitted.clear()
+            e = self._emitted[f] = self.emit[[i for i in map(self.index.get, f) if i is not None]].sum(axis=0)
+        return e
 
     def decode(self, rows: list[list[str]]) -> list[int]:
-        """The most probable labels, by Viterbi."""
+        """The most probable labels, by Viterbi. Texts of one form have one sequence of features, which is decoded once."""
         if not rows:
             return []
-        e = self.scores(rows)
-        best = self.first + e[0]
+        key = tuple(map(tuple, rows))
+        path = self._paths.get(key)
+        if path is None:
+            path = self._viterbi(key)
+            if len(key) <= 64:
+                if len(self._paths) >= self.KEPT:
+                    self._paths.clear()
+                self._paths[key] = path
+        return path
+
+    def _viterbi(self, rows: tuple[tuple[str, ...], ...]) -> list[int]:
+        best = self.first + self._emission(rows[0])
         back = []
-        for x in e[1:]:
+        for f in rows[1:]:
             through = best[:, None] + self.step
             back.append(through.argmax(axis=0))
-            best = through.max(axis=0) + x
+            best = through.max(axis=0) + self._emission(f)
         at = int(best.argmax())
         path = [at]
         for b in reversed(back):
