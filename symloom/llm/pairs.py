@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +48,8 @@ NOTICE = re.compile(
     r"|\bexcept (?:as it allows|in compliance)\b",
     re.I,
 )
+# Every notice holds one of these; texts without them, nearly all, need no search.
+NOTICE_HINTS = ("generated", "do not", "written by", "lost", "tool version", "input", "source", "copyright", "(c)", "©", "spdx", "licen", "rights", "may not", "permission", "warrant", "part of", "may be", "copying", "except")
 DIRECTIVE = re.compile(
     r"^\W*(?:noqa\b|nolint\b|nosec\b|type:\s*ignore|eslint-|tslint:|jshint\b|prettier-ignore|rustfmt::|clippy::|allow\(|pylint:|flake8:|mypy:|pragma\b|#pragma\b|@ts-|@suppress|swiftlint:|clang-format|istanbul ignore|c8 ignore|checkstyle:|resharper\b|go:\w+|\+build\b|fmt:\s*(?:on|off|skip)|isort:|coverage:|region\b|endregion\b|vim:|-\*-)",
     re.I,
@@ -74,6 +77,12 @@ EMPTY_WORDS = frozenset(
 )
 
 
+def notice(text: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in NOTICE_HINTS) and NOTICE.search(text) is not None
+
+
+@lru_cache(maxsize=100_000)
 def stem(w: str) -> str:
     """A word without its inflection, enough to match a name's verb."""
     w = w.lower()
@@ -88,7 +97,7 @@ def stem(w: str) -> str:
 
 def tokens(text: str) -> list[str]:
     """Words of text or code, identifiers taken apart at case changes and underscores."""
-    return [p for t in _TOKEN.findall(text) for p in _CAMEL.split(t)]
+    return [p for t in _TOKEN.findall(text) for p in ((t,) if t[1:].islower() or t.isdigit() else _CAMEL.split(t))]
 
 
 def split_declaration(sig: str | None) -> tuple[str, str]:
@@ -147,7 +156,7 @@ def statements(text: str, declaration: str) -> list[str]:
 
     def flush() -> None:
         for s in _SENTENCE.split(" ".join(part)):
-            if s and not PLACEHOLDER.match(s) and not NOTICE.search(s) and not filler(s) and (not POINTER.match(s) or REASON.search(s)):
+            if s and not PLACEHOLDER.match(s) and not notice(s) and not filler(s) and (not POINTER.match(s) or REASON.search(s)):
                 out.append(s)
         part.clear()
 
@@ -168,7 +177,7 @@ def statements(text: str, declaration: str) -> list[str]:
             flush()
             in_section = in_section and not raw.strip()
             continue
-        if fenced or NOTICE.search(line) or DIRECTIVE.match(line) or PLACEHOLDER.match(line) or CODE.search(line):
+        if fenced or notice(line) or DIRECTIVE.match(line) or PLACEHOLDER.match(line) or CODE.search(line):
             flush()
             continue
         if not re.search(r"\w", line) or _SEPARATOR.match(line):
