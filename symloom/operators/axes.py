@@ -11,6 +11,8 @@ from symloom.operators.rollup import UNANCHORED
 from symloom.runtime import Scratch
 
 CONTAINERS = model.SCOPES
+# What public ids of a language begin with.
+ROOT_PREFIX = {"rust": "rs", "csharp": "cs", "typescript": "ts", "go": "go", "python": "py", "swift": "sw"}
 OUT_CAP, IN_CAP, CENTRAL_CAP = 8, 24, 8
 MIN_PKG_MEMBERS, MIN_DOMAIN_LINKS, MIN_DOMAIN_SIZE = 2, 2, 4
 MIN_AREA = 5
@@ -138,7 +140,58 @@ def domains(nodes: DataFrame, edges: DataFrame, membership: DataFrame, scratch:
     rows = rows.join(ends, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
     return rows.groupBy("community_id").agg(
         F.count(F.lit(1)).alias("size"), F.max("n_links").alias("n_links"), F.countDistinct("pkg").alias("n_packages"), F.min(F.struct(-F.col("deg"), "name", "id")).alias("h")
-    ).select("community_id", "size", "n_links", "n_packages", F.col("h.name").alias("hub"))
+    ).select("community_id", "size", "n_links", "n_packages", F.col("h.name").alias("hub"), F.col("h.id").alias("hub_id"))
+
+
+def list_domains(found: DataFrame, symbols: DataFrame, domain: str | None = None) -> DataFrame:
+    """symbol, title, size, packages_count, links, rank of :func:`domains` rows, the largest first, ties by title.
+
+    ``symbol`` is the hub's public id; a domain whose hub has no symbol is left out. ``domain`` names one by
+    that id or by its title. ``hub_id`` tells the hub.
+    """
+    s = symbols.select(F.col("id").alias("hub_id"), F.col("pub_id").alias("symbol"), F.col("name").alias("title"))
+    j = found.join(s, "hub_id")
+    if domain is not None:
+        j = j.where((F.col("symbol") == domain) | (F.col("title") == domain))
+    first = j.orderBy(F.desc("size"), "title", "community_id")
+    return first.select("symbol", "title", "size", F.col("n_packages").alias("packages_count"), F.col("n_links").alias("links"))
+
+
+def root_symbols(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """pkg, root_id, pub_id: the symbol that stands for a whole package, where the store has it.
+
+    Candidates by language: the crate module of a Rust package, else the package's name behind the language's prefix.
+    """
+    p = packages_language(nodes)
+    prefix = F.coalesce(*(F.when(F.col("language") == k, F.lit(v)) for k, v in ROOT_PREFIX.items()))
+    tail = F.when(F.col("language") == "rust", F.lit("::crate")).otherwise(F.lit(""))
+    cand = p.select("pkg", F.concat(prefix, F.lit(":"), "pkg", tail).alias("pub_id")).where("pub_id is not null")
+    hit = symbols.groupBy("pub_id").agg(F.min("id").alias("root_id"))
+    return cand.join(hit, "pub_id").select("pkg", "root_id", "pub_id")
+
+
+def packages_language(nodes: DataFrame) -> DataFrame:
+    """pkg, language: the most frequent language of each first-party package, the smaller name on ties."""
+    per = first_party(nodes).groupBy(F.col("anchor_name").alias("pkg"), "language").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("pkg").agg(F.min(F.struct(-F.col("n"), "language")).alias("m")).select("pkg", F.col("m.language").alias("language"))
+
+
+def root_documents(roots: DataFrame, files: DataFrame, docs: DataFrame, precedence: dict[str, list[str]]) -> DataFrame:
+    """pkg, path, doc: the documentation of a package's root file.
+
+    ``roots``: pkg, language, root; ``files``: id, path; ``docs``: file_id, doc. Of the documented files at or
+    below the root whose name is one of the language's, that of the earliest name counts, then the shallowest,
+    then the first by path. A file finds its root by the equality of one of its directories.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    order = F.coalesce(*(F.when(F.col("language") == k, F.array_position(F.array(*map(F.lit, v)), name)) for k, v in precedence.items()), F.lit(0))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    d = docs.where("doc <> ''").groupBy("file_id").agg(F.min("doc").alias("doc"))
+    f = files.join(d, files.id == d.file_id).select("path", "doc", F.explode(above).alias("root"))
+    j = f.join(roots, "root").withColumn("order", order).where(F.col("order") > 0)
+    best = j.groupBy("pkg").agg(F.min(F.struct("order", F.size(F.split("path", "/")).alias("depth"), "path", "doc")).alias("m"))
+    return best.select("pkg", "m.path", "m.doc")
 
 
 def contracts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from symloom.runtime import Scratch
 
 SQL_WORDS = r"(?i)\b(select|insert|update|delete|create|alter|drop|merge|with)\b"
 SQL_LEAST = 12
+# Endings of media files.
+MEDIA = ("png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "bmp", "mp3", "mp4", "wav", "webm", "ogg", "pdf", "woff", "woff2", "ttf")
 
 
 def looks_like_sql(c: Column) -> Column:
@@ -133,6 +135,50 @@ def element_ids(elements: DataFrame) -> DataFrame:
     return cur.select("key", "ordinal", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 
+def id_correspondence(elements: DataFrame, css_ids: DataFrame) -> DataFrame:
+    """src, dst, name, direction: an element's id and the style sheets' ids of that name, each way.
+
+    ``elements``: key, id; ``css_ids``: sheet, name. Of one page the first element with an id counts.
+    """
+    html = elements.where("id <> ''").select("key", F.col("id").alias("name")).distinct()
+    j = html.join(css_ids.where("name <> ''").select("sheet", "name").distinct(), "name")
+    there = j.select(F.col("key").alias("src"), F.col("sheet").alias("dst"), "name", F.lit("html_css").alias("direction"))
+    return there.unionByName(j.select(F.col("sheet").alias("src"), F.col("key").alias("dst"), "name", F.lit("css_html").alias("direction")))
+
+
+def page_links(elements: DataFrame, files: DataFrame, anchors: DataFrame) -> DataFrame:
+    """key, target, anchor, dst, what, grade of the local links of pages; links with a scheme or host are left out.
+
+    ``elements``: key, path (of the page), link; ``files``: id, path; ``anchors``: id (of a file), anchor. A target
+    is seen from the page's directory, an empty one is the page itself. A file that is there is exact, drifted
+    if the anchor is missing; one that is not there is dangling. ``what`` tells media, for which a stub stands.
+    """
+    e = elements.where("link is not null and not link rlike '^([A-Za-z][A-Za-z0-9+.-]*:|//)'")
+    part = F.split("link", "#")
+    e = e.select("key", "path", F.regexp_replace(part[0], r"\?.*$", "").alias("target"), F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("")).alias("anchor"))
+    e = e.withColumn("whole", F.when(F.col("target") == "", F.col("path")).otherwise(join_path(dirname(F.col("path")), F.col("target"))))
+    there = files.groupBy(F.col("path").alias("whole")).agg(F.min("id").alias("dst"))
+    has = anchors.select(F.col("id").alias("dst"), "anchor", F.lit(True).alias("has")).distinct()
+    j = e.join(there, "whole", "left").join(has, ["dst", "anchor"], "left")
+    media = F.lower(F.regexp_extract("target", r"\.([^./]+)$", 1)).isin(*MEDIA)
+    grade = F.when(F.col("dst").isNull(), "dangling").when((F.col("anchor") != "") & F.col("has").isNull(), "drifted").otherwise("exact")
+    return j.select("key", "target", "anchor", "dst", F.when(media, "media").otherwise("page").alias("what"), grade.alias("grade"))
+
+
+def html_class_usage(elements: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, owner, name, dst, grade: classes that elements name, from the nearest element with an id (-1: the document).
+
+    ``classes``: id, name of the style sheets' classes. A name of several is ambiguous and all are kept, one of
+    none is dangling.
+    """
+    names = elements.where("class is not null").select("key", "ordinal", F.explode(F.split(F.trim("class"), r"\s+")).alias("name")).where("name <> ''")
+    used = names.join(element_ids(elements), ["key", "ordinal"]).select("key", "owner", "name").distinct()
+    c = classes.select(F.col("id").alias("dst"), "name").distinct()
+    n = c.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
+    j = used.join(c, "name", "left").join(n, "name", "left")
+    return j.select("key", "owner", "name", "dst", F.when(F.col("k").isNull(), "dangling").when(F.col("k") > 1, "ambiguous").otherwise("exact").alias("grade"))
+
+
 def table_identities(names: DataFrame) -> DataFrame:
     """schema, tbl, identity: a qualified name is itself; a bare one takes the single schema known for it, else stays bare."""
     known = names.where("schema <> ''").groupBy("tbl").agg(F.countDistinct("schema").alias("k"), F.min("schema").alias("one"))

@@ -57,6 +57,33 @@ def regressions(previous: DataFrame, current: DataFrame, threshold: int = 10) ->
     return j.where(F.col("drop_pct") >= threshold)
 
 
+def staleness_keys(heads: DataFrame, dirty: DataFrame, trees: DataFrame, config: str) -> DataFrame:
+    """workspace, kind, key: what an index of a workspace was made from; two states are equal iff kind and key are.
+
+    ``heads``: workspace, head (null outside version control); ``dirty``: workspace, path, sha of changed files;
+    ``trees``: workspace, path, mtime, size. A workspace with a head is told by head, changed files and the
+    configuration's mark, another one by its files, one without files is ``unknown`` and equal to none. Files
+    are folded by sums that no order changes, so a workspace of very many files is no single row.
+    """
+    def folded(rows: DataFrame, *cols: str) -> DataFrame:
+        marks = rows.groupBy("workspace").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*cols)).alias("x"), F.sum(F.hash(*cols).cast("long")).alias("s"))
+        return marks.select("workspace", F.concat_ws("-", "n", "x", "s").alias("mark"))
+
+    d = folded(dirty.distinct(), "path", "sha").withColumnRenamed("mark", "changed")
+    t = folded(trees.distinct(), "path", "mtime", "size").withColumnRenamed("mark", "tree")
+    j = heads.select("workspace", "head").distinct().join(d, "workspace", "left").join(t, "workspace", "left")
+    kind = F.when(F.col("head").isNotNull(), "git").when(F.col("tree").isNotNull(), "tree").otherwise("unknown")
+    key = F.when(F.col("head").isNotNull(), F.concat_ws("|", "head", F.coalesce("changed", F.lit("")), F.lit(config))).otherwise(F.col("tree"))
+    return j.select("workspace", kind.alias("kind"), key.alias("key"))
+
+
+def stale_workspaces(before: DataFrame, now: DataFrame) -> DataFrame:
+    """workspace, is_stale: whether the keys of two times differ; an unknown or absent one is always stale."""
+    b = before.select("workspace", F.col("kind").alias("k"), F.col("key").alias("v"))
+    same = (F.col("k") == F.col("kind")) & (F.col("v") == F.col("key")) & (F.col("kind") != "unknown")
+    return now.join(b, "workspace", "left").select("workspace", (~F.coalesce(same, F.lit(False))).alias("is_stale"))
+
+
 def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, change: added, removed or modified files of two manifests (path, sha); none means nothing is stale."""
     newest = lambda m, n: m.groupBy("path").agg(F.max("sha").alias(n))

@@ -468,7 +468,57 @@ select community_id, count(*) size, max(n_links) n_links, count(distinct pkg) n_
 @add("x3_domains", AGG + DOMAINS)
 def x3(spark: SparkSession, d: str) -> DataFrame:
     r = Rolled(spark, d)
-    return ax.domains(r.nodes, r.edges, r.membership, r.scratch)
+    return ax.domains(r.nodes, r.edges, r.membership, r.scratch).drop("hub_id")
+
+
+DOMAIN_LIST = AGG + DOMAINS[: DOMAINS.rindex("select community_id")] + """, dl as (select community_id, count(*) size, max(n_links) links, count(distinct pkg) packages_count, min(struct_pack(d := -deg, n := name, i := id)).i hub_id from dom group by community_id)
+select s.pub_id symbol, s.name title, size, packages_count, links from dl join g_symbols s on s.id = hub_id"""
+
+
+@add("x3b_list_domains", DOMAIN_LIST)
+def x3b(spark: SparkSession, d: str) -> DataFrame:
+    r = Rolled(spark, d)
+    return ax.list_domains(ax.domains(r.nodes, r.edges, r.membership, r.scratch), r.symbols)
+
+
+@add("x3b_one_domain", DOMAIN_LIST + " where s.name = (select min(name) from dl join g_symbols t on t.id = hub_id)")
+def x3b_one(spark: SparkSession, d: str) -> DataFrame:
+    """The domain of one title, here the first one."""
+    r = Rolled(spark, d)
+    found = r.scratch.save(ax.domains(r.nodes, r.edges, r.membership, r.scratch))
+    first = ax.list_domains(found, r.symbols).agg(F.min("title")).collect()[0][0]  # one title
+    return ax.list_domains(found, r.symbols, first or "")
+
+
+@query(
+    "x2e_root_documents",
+    PATHS + """, rl as (select pkg, root, 'rust' l from root where length(pkg) % 2 = 0 union all select pkg, root, 'python' from root where length(pkg) % 2 = 1),
+dc as (select file_id, min(doc) doc from file_docs where doc <> '' group by 1),
+c as (select rl.pkg, f.path, dc.doc, list_position(case l when 'rust' then ['lib.rs', 'main.rs', 'mod.rs', 'chunk.rs', 'span.rs'] else ['__init__.py', 'chunk.py', 'span.py'] end, regexp_extract(f.path, '[^/]*$')) o, len(string_split(f.path, '/')) n
+ from (select distinct id, path from files where path is not null) f join dc on dc.file_id = f.id join rl on root = '' or starts_with(f.path, root || '/'))
+select pkg, arg_min(path, struct_pack(o := o, n := n, p := path)) path, arg_min(doc, struct_pack(o := o, n := n, p := path)) doc from c where o > 0 group by pkg""",
+)
+def x2e_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Root documents of top directories; here every second one counts as Rust, the others as Python."""
+    roots = ax.package_roots(_paths(spark, d)).withColumn("language", F.when(F.length("pkg") % 2 == 0, "rust").otherwise("python"))
+    names = {"rust": ["lib.rs", "main.rs", "mod.rs", "chunk.rs", "span.rs"], "python": ["__init__.py", "chunk.py", "span.py"]}
+    files = table(spark, d, "files").where("path is not null").select("id", "path").distinct()
+    return ax.root_documents(roots, files, table(spark, d, "file_docs"), names)
+
+
+@add(
+    "x2d_root_symbols",
+    AGG + """, l as (select anchor_name pkg, min(struct_pack(n := -n, l := "language")).l lang from (select anchor_name, "language", count(*) n from fp group by all) group by 1),
+c as (select pkg, case lang when 'rust' then 'rs:' || pkg || '::crate' when 'csharp' then 'cs:' || pkg when 'typescript' then 'ts:' || pkg when 'go' then 'go:' || pkg when 'python' then 'py:' || pkg end pub_id from l),
+st as (select case "language" when 'rust' then 'rs:' || replace(name, 'nation', 'pkg') || '::crate' when 'csharp' then 'cs:' || replace(name, 'nation', 'pkg') else 'ts:' || replace(name, 'nation', 'pkg') end pub_id, id from g_symbols where kind = 'module')
+select pkg, min(id) root_id, pub_id from c join st using (pub_id) group by all""",
+)
+def x2d_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Packages with the symbol that stands for them; modules play those symbols."""
+    r = Rolled(spark, d)
+    at = F.regexp_replace("name", "nation", "pkg")
+    pub = F.when(F.col("language") == "rust", F.concat(F.lit("rs:"), at, F.lit("::crate"))).when(F.col("language") == "csharp", F.concat(F.lit("cs:"), at)).otherwise(F.concat(F.lit("ts:"), at))
+    return ax.root_symbols(r.nodes, r.symbols.where("kind = 'module'").select("id", pub.alias("pub_id")))
 
 
 @add("k11_earned_domains", AGG + DOMAINS[: DOMAINS.rindex("select community_id")] + "select count(distinct community_id) domains from dom")

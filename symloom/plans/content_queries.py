@@ -222,32 +222,36 @@ def p14(spark: SparkSession, d: str) -> DataFrame:
     return _elements(spark, d).select("key", "tag", "parent", "ordinal")
 
 
-@query("content_p15_id_correspondence", "select c_custkey \"key\", 'i' || (c_custkey % 12) name, n sheet from customer join (select distinct p_partkey % 25 n, 'i' || (p_partkey % 7) i from part) on i = 'i' || (c_custkey % 12)")
+@query(
+    "content_p15_id_correspondence",
+    """with j as (select c_custkey "key", 'i' || (c_custkey % 12) name, n sheet from customer join (select distinct p_partkey % 25 n, 'i' || (p_partkey % 7) i from part) on i = 'i' || (c_custkey % 12))
+select "key" src, sheet dst, name, 'html_css' direction from j union all select sheet, "key", name, 'css_html' from j""",
+)
 def p15(spark: SparkSession, d: str) -> DataFrame:
     ids = ps.flat_map(_sheets(spark, d), ps.css_atoms, "key long, kind string, name string, line int").where("kind = 'id'").select(F.col("key").alias("sheet"), "name")
-    return _elements(spark, d).where("id is not null").select("key", F.col("id").alias("name")).join(ids, "name").select("key", "name", "sheet")
+    return co.id_correspondence(_elements(spark, d), ids)
 
 
 @query(
     "content_p16_page_links",
-    """select c_custkey "key", 'r' || c_nationkey || '.html' target, 's' || (c_custkey % 3) anchor, case when c_nationkey % 5 = 0 then 'dangling' when c_custkey % 3 = 0 then 'drifted' else 'exact' end grade from customer
-union all select c_custkey, 'i' || (c_custkey % 5) || '.png', '', case when c_custkey % 5 < 4 then 'exact' else 'dangling' end from customer""",
+    """select c_custkey "key", 'r' || c_nationkey || '.html' target, 's' || (c_custkey % 3) anchor, case when c_nationkey % 5 <> 0 then c_nationkey end dst, 'page' what, case when c_nationkey % 5 = 0 then 'dangling' when c_custkey % 3 = 0 then 'drifted' else 'exact' end grade from customer
+union all select c_custkey, 'i' || (c_custkey % 5) || '.png', '', case when c_custkey % 5 < 4 then 100 + c_custkey % 5 end, 'media', case when c_custkey % 5 < 4 then 'exact' else 'dangling' end from customer""",
 )
 def p16(spark: SparkSession, d: str) -> DataFrame:
     """Local links of pages: pages of every fifth nation are absent, so is one image; anchors s1 and s2 exist."""
-    e = _elements(spark, d).where("link is not null and not link rlike '^[a-z]+:'")
-    e = e.select("key", F.split("link", "#")[0].alias("target"), F.coalesce(F.try_element_at(F.split("link", "#"), F.lit(2)), F.lit("")).alias("anchor"))
-    there = table(spark, d, "nation").where("n_nationkey % 5 <> 0").selectExpr("concat('r', n_nationkey, '.html') target").union(spark.range(4).selectExpr("concat('i', id, '.png')")).withColumn("there", F.lit(True))
-    j = e.join(there, "target", "left")
-    grade = F.when(F.col("there").isNull(), "dangling").when((F.col("anchor") != "") & ~F.col("anchor").isin("s1", "s2"), "drifted").otherwise("exact")
-    return j.select("key", "target", "anchor", grade.alias("grade"))
+    pages = table(spark, d, "nation").where("n_nationkey % 5 <> 0").selectExpr("cast(n_nationkey as long) id", "concat('site/r', n_nationkey, '.html') path")
+    files = pages.union(spark.range(4).selectExpr("100 + id", "concat('site/i', id, '.png')"))
+    anchors = pages.select("id", F.explode(F.array(F.lit("s1"), F.lit("s2"))).alias("anchor"))
+    return co.page_links(_elements(spark, d).withColumn("path", F.concat(F.lit("site/c"), "key", F.lit(".html"))), files, anchors)
 
 
-@query("content_p17_html_classes", "select distinct c_custkey \"key\", \"owner\", name from (select c_custkey, 1 \"owner\", unnest(['k1', 'k' || (c_custkey % 50)]) name from customer union all select c_custkey, 8, 'k2' from customer)")
+@query(
+    "content_p17_html_classes",
+    """with u as (select distinct c_custkey "key", "owner", name from (select c_custkey, 1 "owner", unnest(['k1', 'k' || (c_custkey % 50)]) name from customer union all select c_custkey, 8, 'k2' from customer)), cl as (select i id, 'k' || (i % 40) name from range(45) r(i))
+select "key", "owner", u.name, cl.id dst, case when cl.id is null then 'dangling' when (select count(*) from cl x where x.name = u.name) > 1 then 'ambiguous' else 'exact' end grade from u left join cl using (name)""",
+)
 def p17(spark: SparkSession, d: str) -> DataFrame:
-    e = _elements(spark, d)
-    names = e.where("class is not null").select("key", "ordinal", F.explode(F.split(F.trim("class"), r"\s+")).alias("name"))
-    return names.join(co.element_ids(e), ["key", "ordinal"]).select("key", "owner", "name").distinct()
+    return co.html_class_usage(_elements(spark, d), spark.range(45).selectExpr("id", "concat('k', id % 40) name"))
 
 
 # statements: three an order ------------------------------------------------------------------

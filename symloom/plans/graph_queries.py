@@ -108,11 +108,11 @@ def q11(spark: SparkSession, d: str) -> DataFrame:
 @add(
     "q12_symbol_surfaces",
     """select s.id, s.pub_id, s.kind, s.name, coalesce(t.sig, '') sig, coalesce(t.doc, '') doc, coalesce(f.path, '') path, d.start_line
-from g_symbols s left join g_docs t on t.sym_id = s.id left join g_defs d on d.sym_id = s.id left join g_files f on f.id = d.file_id where s.kind in ('function', 'package')""",
+from g_symbols s left join g_docs t on t.sym_id = s.id left join g_defs d on d.sym_id = s.id left join g_files f on f.id = d.file_id where s."language" = 'rust'""",
 )
 def q12(spark: SparkSession, d: str) -> DataFrame:
-    s = graph(spark, d, "g_symbols").where(F.col("kind").isin("function", "package"))
-    return lk.symbol_surfaces(s, graph(spark, d, "g_docs"), graph(spark, d, "g_defs"), graph(spark, d, "g_files"))
+    """All symbols of one language, as the scan takes them."""
+    return lk.symbol_surfaces(*(graph(spark, d, f"g_{t}") for t in ("symbols", "docs", "defs", "files")), language="rust")
 
 
 @add("q13_scan_edges", "select distinct src_id, target_id from g_edges where kind = 3 order by 1, 2")

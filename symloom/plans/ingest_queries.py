@@ -31,7 +31,7 @@ def i2(spark: SparkSession, d: str) -> DataFrame:
     return ing.intern_packages(f).select("name", "version", "pos", "id")
 
 
-FRAMES = """with fr as (select "language", pub_id, id, external, coalesce(partial, false) partial, id % 4 = 0 or removed_at is not null stub, struct_pack(l := loaded_at, e := external, p := coalesce(partial, false), s := id % 4 = 0 or removed_at is not null, n := coalesce(nargs, -1), q := coalesce(enclosing_sym_id, 0)) pos from symbols where pub_id is not null and loaded_at is not null and external is not null)"""
+FRAMES = """with fr as (select "language", pub_id, coalesce(pkg_id, 0) pkg, id, external, coalesce(partial, false) partial, id % 4 = 0 or removed_at is not null stub, struct_pack(l := loaded_at, e := external, p := coalesce(partial, false), s := id % 4 = 0 or removed_at is not null, n := coalesce(nargs, -1), q := coalesce(enclosing_sym_id, 0)) pos from symbols where pub_id is not null and loaded_at is not null and external is not null)"""
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
@@ -39,12 +39,14 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
     stub = (F.col("id") % 4 == 0) | F.col("removed_at").isNotNull()
     part = F.coalesce("partial", F.lit(False))
     pos = F.struct("loaded_at", "external", part.alias("p"), stub.alias("s"), F.coalesce("nargs", F.lit(-1)).alias("n"), F.coalesce("enclosing_sym_id", F.lit(0)).alias("q"))
-    return s.select("language", "pub_id", "id", "external", part.alias("partial"), stub.alias("stub"), pos.alias("pos"))
+    return s.select("language", "pub_id", F.coalesce("pkg_id", F.lit(0)).alias("pkg"), "id", "external", part.alias("partial"), stub.alias("stub"), pos.alias("pos"))
 
 
-@query("i3_intern_symbols", FRAMES + ", k as (select \"language\", pub_id, min(pos) pos from fr group by all) select \"language\", count(*) n from k group by 1")
+@query("i3_intern_symbols", FRAMES + " select \"language\", pub_id, pkg, min(id) id from (select *, min(pos) over (partition by \"language\", pub_id, pkg) first from fr) where pos = first group by all")
 def i3(spark: SparkSession, d: str) -> DataFrame:
-    return ing.first_sightings(_frames(spark, d), ["language", "pub_id"]).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    """A symbol is told by language, public id and package version: two versions are two symbols."""
+    f = _frames(spark, d).withColumn("pos", F.struct("pos", "id"))
+    return ing.first_sightings(f, ["language", "pub_id", "pkg"]).select("language", "pub_id", "pkg", "id")
 
 
 @query("i4_stub_upgrade", FRAMES + " select \"language\", pub_id, arg_min(id, struct_pack(s := stub, p := pos)) id, arg_min(external or stub, struct_pack(s := stub, p := pos)) external from fr group by all")
@@ -55,11 +57,11 @@ def i4(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "i5_cross_wire_duplicates",
     FRAMES + """, n as (select *, row_number() over w n, coalesce(sum((not stub)::int) over (partition by "language", pub_id order by pos rows between unbounded preceding and 1 preceding), 0) seen from fr window w as (partition by "language", pub_id order by pos)),
-v as (select case when stub then case when n = 1 then 'first' else 'duplicate' end when seen = 0 then case when n = 1 then 'first' else 'upgrade' end when partial then 'part' else 'duplicate' end verdict, "language" from n)
-select "language", verdict, count(*) n from v group by all""",
+v as (select case when stub then case when n = 1 then 'first' else 'duplicate' end when seen = 0 then case when n = 1 then 'first' else 'upgrade' end when partial then 'part' else 'duplicate' end verdict, "language", pub_id from n)
+select "language", pub_id, verdict, count(*) n from v group by all""",
 )
 def i5(spark: SparkSession, d: str) -> DataFrame:
-    return ing.duplicates(_frames(spark, d)).groupBy("language", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    return ing.duplicates(_frames(spark, d)).groupBy("language", "pub_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

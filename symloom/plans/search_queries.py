@@ -481,6 +481,24 @@ def r6(spark: SparkSession, d: str) -> DataFrame:
     return rp.regressions(m.select(F.col("run_id").cast("string").alias("metric"), "value"), nxt.where("value is not null").select(F.col("run_id").cast("string").alias("metric"), "value"))
 
 
+@query(
+    "r7_staleness",
+    """with f as (select split_part(path, '/', 1) w, path, max(content_hash) filter (loaded_at < timestamptz '2025-04-01 00:00:00+00') a, max(content_hash) b from files where path is not null group by all)
+select w workspace, length(w) % 3 = 0 or coalesce(bool_or(a is distinct from b), false) is_stale from f group by 1""",
+)
+def r7_staleness(spark: SparkSession, d: str) -> DataFrame:
+    """Top directories as workspaces, by name with a head, as plain trees or unknown, in April and now."""
+    f = table(spark, d, "files").where("path is not null").withColumn("workspace", F.split("path", "/")[0])
+    spaces = f.select("workspace", F.when(F.length("workspace") % 3 == 1, "h1").alias("head")).distinct()
+
+    def keys(rows: DataFrame) -> DataFrame:
+        s = rows.groupBy("workspace", "path").agg(F.max("content_hash").alias("sha")).where("sha is not null")
+        trees = s.where("length(workspace) % 3 = 2").select("workspace", "path", F.col("sha").alias("mtime"), F.lit(1).alias("size"))
+        return rp.staleness_keys(spaces, s.where("length(workspace) % 3 = 1"), trees, "c1")
+
+    return rp.stale_workspaces(keys(f.where("loaded_at < timestamp '2025-04-01 00:00:00'")), keys(f))
+
+
 @query(
     "r7_manifest_changes",
     """with a as (select path, max(content_hash)::varchar sha from files where path is not null and loaded_at < timestamptz '2025-04-01 00:00:00+00' group by 1), b as (select path, max(content_hash)::varchar sha from files where path is not null and removed_at is null group by 1)

@@ -7,8 +7,10 @@ them again after another executor is lost.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -63,6 +65,12 @@ class Files:
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
+    def age_s(self, path: str) -> float:
+        """Seconds since the newest change of a folder or of what lies in it."""
+        here = self._path(path)
+        newest = max(s.getModificationTime() for s in [self._fs.getFileStatus(here), *self._fs.listStatus(here)])
+        return time.time() - newest / 1000
+
     def children(self, path: str) -> list[str]:
         if not self.exists(path):
             return []
@@ -107,14 +115,39 @@ class Files:
             stream.close()
 
 
+_made: list[Scratch] = []
+
+
+def _drop_scratch() -> None:
+    """Drop the folders of this process at its end: until then a lazy result may read them."""
+    for s in _made:
+        try:
+            s.drop(s.root)
+        except Exception:  # noqa: BLE001  the session may be gone already; sweep() takes what is left
+            return
+
+
+def sweep(spark: SparkSession, hours: int = 48) -> list[str]:
+    """Drop scratch folders that processes which died left behind: those untouched for ``hours``."""
+    root = f"{shared_dir(spark)}/symloom"
+    files = Files(spark, root)
+    old = [c for c in files.children(root) if c not in ("published", "_tmp") and files.age_s(f"{root}/{c}") > 3_600 * hours]
+    for c in old:
+        files.delete(f"{root}/{c}")
+    return old
+
+
 class Scratch:
-    """Written intermediate tables of one query, in one folder below the shared one."""
+    """Written intermediate tables of one query, in one folder below the shared one, dropped as the process ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/symloom/{label}-{uuid.uuid4().hex}"
         self.files = Files(spark, self.root)
         self._n = 0
+        if not _made:
+            atexit.register(_drop_scratch)
+        _made.append(self)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return the table read back: lineage ends at the files."""

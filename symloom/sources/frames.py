@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Frames share a type tag; some fields mean different things by type, so raw lines are split by type first.
@@ -23,17 +23,34 @@ class BadFrame(ValueError):
     """A line that is no JSON object with a known type."""
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, *more: Column) -> DataFrame:
     """type, line of every non-blank line."""
-    t = spark.read.text(path).withColumnRenamed("value", "line").where(F.trim("line") != "")
-    return t.select(F.get_json_object("line", "$.type").alias("type"), "line")
+    t = spark.read.text(path).where(F.trim("value") != "")
+    return t.select(F.get_json_object("value", "$.type").alias("type"), F.col("value").alias("line"), *more)
 
 
-def read_frames(spark: SparkSession, path: str, strict: bool = False) -> dict[str, DataFrame]:
-    """One table a frame type. Blank lines are skipped; broken lines have no type and are left out, or refused if ``strict``."""
+def _broken() -> Column:
+    return F.col("type").isNull() | ~F.col("type").isin(*FRAME_SCHEMAS)
+
+
+def first_broken(spark: SparkSession, path: str) -> tuple[str, int, str] | None:
+    """File, line number (from 1, blank lines counted) and text of the first broken line of the first file that has one."""
+    lines = read_lines(spark, path, F.col("_metadata.file_path").alias("file"))
+    where = lines.where(_broken()).agg(F.min("file").alias("file")).collect()[0].file
+    if where is None:
+        return None
+    # the splits of one file, read in their order by one task: only where there is an error to tell
+    one = spark.read.text(where).coalesce(1).select((F.monotonically_increasing_id() + 1).alias("at"), F.col("value").alias("line"))
+    bad = one.withColumn("type", F.get_json_object("line", "$.type")).where(_broken() & (F.trim("line") != ""))
+    r = bad.agg(F.min(F.struct("at", "line")).alias("m")).collect()[0].m
+    return where, r["at"], r["line"]
+
+
+def read_frames(spark: SparkSession, path: str, strict: bool = True) -> dict[str, DataFrame]:
+    """One table a frame type. Blank lines are skipped; a broken line is an error that names it, or left out if not ``strict``."""
     lines = read_lines(spark, path)
-    if strict and (bad := lines.where(F.col("type").isNull() | ~F.col("type").isin(*FRAME_SCHEMAS)).limit(1).collect()):
-        raise BadFrame(bad[0].line[:200])
+    if strict and (bad := first_broken(spark, path)):
+        raise BadFrame(f"{bad[0]}:{bad[1]}: {bad[2][:200]}")
     return {t: lines.where(F.col("type") == t).select(F.from_json("line", s).alias("f")).select("f.*") for t, s in FRAME_SCHEMAS.items()}
 
 

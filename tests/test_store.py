@@ -37,11 +37,11 @@ def test_snapshot_lifecycle(spark):
 def test_frames(spark, tmp_path):
     lines = '{"type":"file","id":1,"path":"a","doc":["x","y"]}\n\n{"type":"symbol","id":2,"key":"k","doc":"d","range":[0,0,1,2]}\nnot json\n{"type":"error","source":"tool","message":"m"}\n{"type":"edge","source":2,"target":1,"kind":"calls"}\n'
     (tmp_path / "f.jsonl").write_text(lines)
-    got = fr.read_frames(spark, str(tmp_path))
+    got = fr.read_frames(spark, str(tmp_path), strict=False)
     assert got["file"].collect()[0].doc == ["x", "y"] and got["symbol"].collect()[0].doc == "d"
     assert got["error"].collect()[0].source == "tool" and got["edge"].collect()[0].source == 2
-    with pytest.raises(fr.BadFrame):
-        fr.read_frames(spark, str(tmp_path), strict=True)
+    with pytest.raises(fr.BadFrame, match=r"f\.jsonl:4: not json"):
+        fr.read_frames(spark, str(tmp_path))
 
 
 def test_findings_round_trip(spark, tmp_path):
