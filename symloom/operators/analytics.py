@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom import model
-from symloom.runtime import Scratch
+from symloom.runtime import Scratch, numbered
 
 
 def collapse(edges: DataFrame) -> DataFrame:
@@ -99,17 +99,10 @@ def modularity(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     return j.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("tot") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def dense_communities(membership: DataFrame) -> DataFrame:
+def dense_communities(membership: DataFrame, scratch: Scratch) -> DataFrame:
     """id, community_id: communities numbered from 0 by falling size, then smallest member."""
     size = membership.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"))
-    bounds = size.orderBy(F.desc("size"), "low")
-    # numbered by range partitions: an offset a partition, then a count inside it
-    numbered = bounds.withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(F.desc("size"), "low")
-    numbered = numbered.withColumn("at", F.row_number().over(w))
-    offsets = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = offsets.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = numbered.join(offsets, "part").select("community", (F.col("base") + F.col("at") - 1).alias("community_id"))
+    ids = numbered(size, "at", scratch, F.desc("size"), F.col("low")).select("community", (F.col("at") - 1).alias("community_id"))
     return membership.join(ids, "community").select("id", "community_id")
 
 

@@ -135,6 +135,22 @@ def element_ids(elements: DataFrame) -> DataFrame:
     return cur.select("key", "ordinal", F.coalesce("owner", F.lit(-1)).alias("owner"))
 
 
+def css_import_targets(imports: DataFrame, sheets: DataFrame) -> DataFrame:
+    """key, target, path, dst: imports (key, path of the sheet, target) with the sheet (id, path) they mean.
+
+    A target is joined to the importing sheet's directory; of its spellings as it stands, with an ending, as a
+    partial and as an index the first that exists counts. An import of no sheet has no row.
+    """
+    whole = join_path(dirname(F.col("path")), F.regexp_replace("target", r"^(\./)+", ""))
+    folder, stem = dirname(F.col("whole")), basename(F.col("whole"))
+    partial = F.concat(F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), F.lit("_"), stem)
+    spellings = [F.col("whole"), *(F.concat("whole", F.lit(e)) for e in (".scss", ".sass", ".css")), *(F.concat(partial, F.lit(e)) for e in (".scss", ".sass")), *(F.concat("whole", F.lit(e)) for e in ("/_index.scss", "/index.scss"))]
+    asked = imports.select("key", "path", "target").distinct().withColumn("whole", whole).select("key", "path", "target", F.posexplode(F.array(*spellings)).alias("at", "spelling"))
+    known = sheets.groupBy(F.col("path").alias("spelling")).agg(F.min("id").alias("dst"))
+    best = asked.join(known, "spelling").groupBy("key", "path", "target").agg(F.min(F.struct("at", "spelling", "dst")).alias("m"))
+    return best.select("key", "target", F.col("m.spelling").alias("path"), F.col("m.dst").alias("dst"))
+
+
 def id_correspondence(elements: DataFrame, css_ids: DataFrame) -> DataFrame:
     """src, dst, name, direction: an element's id and the style sheets' ids of that name, each way.
 

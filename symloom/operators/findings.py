@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symloom.runtime import Scratch
+from symloom.runtime import Scratch, numbered
 
 CLAIMS = ("bug", "deferred", "gotcha", "fixed", "usability")
 DIRECTIVES = ("directive", "guide")
@@ -189,7 +189,7 @@ def liveness(count: Column, age_s: Column) -> Column:
     return count * F.pow(F.lit(0.5), F.greatest(age_s, F.lit(0)) / HALF_LIFE_S)
 
 
-def find_directives(findings: DataFrame, anchors: DataFrame, paths: DataFrame, now_s: int, limit: int, semantic: DataFrame | None = None) -> DataFrame:
+def find_directives(findings: DataFrame, anchors: DataFrame, paths: DataFrame, now_s: int, limit: int, scratch: Scratch, semantic: DataFrame | None = None) -> DataFrame:
     """id, score, rank: directives whose anchors hold a changed path, by decayed attach counts, folded with a semantic arm (id, cosine).
 
     An anchor holds a path if it is the path or a directory above it: the path's ancestors are looked up by equality.
@@ -201,10 +201,11 @@ def find_directives(findings: DataFrame, anchors: DataFrame, paths: DataFrame, n
     a = anchors.withColumn("key", F.regexp_replace("anchor", "/$", "")).join(held, "key", "left_semi")
     score = liveness(F.col("attach_count"), F.lit(now_s) - F.unix_seconds("recency"))
     s = a.groupBy(F.col("finding_id").alias("id")).agg(F.max(score).alias("s")).join(d, "id")
-    arms = s.select("id", F.lit("structural").alias("arm"), "s")
+    order = (F.desc(F.round("s", 9)), F.col("id"))
+    arms = numbered(s.select("id", "s"), "rn", scratch, *order)
     if semantic is not None:
-        arms = arms.unionByName(semantic.where(F.col("cosine") >= COSINE_FLOOR).join(d, "id").select("id", F.lit("semantic").alias("arm"), F.col("cosine").alias("s")))
-    arms = arms.withColumn("rn", F.row_number().over(Window.partitionBy("arm").orderBy(F.desc(F.round("s", 9)), "id")))
+        near = semantic.where(F.col("cosine") >= COSINE_FLOOR).join(d, "id").select("id", F.col("cosine").alias("s"))
+        arms = arms.unionByName(numbered(near, "rn", scratch, *order))
     out = arms.groupBy("id").agg(F.sum(1.0 / (60 + F.col("rn"))).alias("score"))
     first = out.orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
     return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")))  # at most ``limit`` rows

@@ -5,6 +5,8 @@ Frames carry ``pos``, their position in the stream: the first sighting wins wher
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,6 +183,28 @@ def kind_of_descriptor(symbol: Column) -> Column:
     )
 
 
+# Numbers of symbol kinds in the occurrence format.
+NUMBERED_KINDS = {
+    7: "class", 8: "constant", 9: "constructor", 11: "enum", 12: "enum_member", 13: "variable", 15: "field", 17: "function", 21: "interface", 25: "macro", 26: "method", 29: "module", 30: "namespace",
+    34: "operator", 35: "package", 37: "parameter", 41: "property", 49: "struct", 53: "trait", 55: "type_alias", 56: "type_alias", 60: "type_parameter", 63: "variable", 66: "method", 70: "method", 72: "method",
+}
+
+
+def kind_of(number: Column, symbol: Column) -> Column:
+    """Kind by the number of its symbol, else by the last sign of its descriptor."""
+    table = F.create_map(*(F.lit(x) for pair in NUMBERED_KINDS.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, number.cast("int")), kind_of_descriptor(symbol))
+
+
+def test_path(path: Column, globs: tuple[str, ...]) -> Column:
+    """Whether a path matches one of the globs: ** crosses directories, * and ? do not."""
+    hit = F.lit(False)
+    for g in globs:
+        pattern = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.split(r"(\*\*/|\*\*|\*|\?)", g) if x)
+        hit = hit | path.rlike(f"^{pattern}$")
+    return F.coalesce(hit, F.lit(False))
+
+
 def is_test_symbol(language: Column, kind: Column, pub_id: Column) -> Column:
     """Whether a public id names test code, by the conventions of its language."""
     native = F.regexp_extract(pub_id, r"^[^:]+:(.*)$", 1)
@@ -189,7 +213,14 @@ def is_test_symbol(language: Column, kind: Column, pub_id: Column) -> Column:
     inner = F.arrays_overlap(F.slice(rust, F.lit(1), F.greatest(F.size(rust) - 1, F.lit(0))), marks)
     leaf = F.array_contains(marks, F.element_at(rust, -1)) & kind.isin(*model.SCOPES)
     go = F.exists(F.split(native, "[/.]"), lambda s: s.endswith("_test") | s.isin("tests", "test"))
-    return F.when(language == "rust", inner | leaf).when(language == "go", go).otherwise(F.lit(False))
+    py, last = F.split(native, r"\."), F.element_at(F.split(native, r"\."), -1)
+    above = F.slice(py, F.lit(1), F.greatest(F.size(py) - 1, F.lit(0)))
+    named = lambda s: s.isin("tests", "test", "__tests__") | s.endswith("_test")
+    python = (
+        F.exists(above, named) | F.exists(py, lambda s: s.startswith("test_")) | (named(last) & kind.isin(*model.SCOPES)) | (last == "conftest")
+        | (kind.isin(*model.CLASS_LIKE) & (last.startswith("Test") | last.endswith("Test") | last.endswith("TestCase")))
+    )
+    return F.when(language == "rust", inner | leaf).when(language == "go", go).when(language == "python", python).otherwise(F.lit(False))
 
 
 def merge_runs(rows: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def status_history(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return history, now
 
 
-def clamped_count(deltas: DataFrame, most: int = 1_000_000) -> DataFrame:
+def clamped_count(deltas: DataFrame) -> DataFrame:
     """session, n: a counter of +1 and -1 that never falls below 0, in order of seq.
 
     The end value is the total minus the lowest running total if that is below zero: windows and maxima, so a

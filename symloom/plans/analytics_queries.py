@@ -311,7 +311,7 @@ def k5(spark: SparkSession, d: str) -> DataFrame:
     """Communities of the clustering view; the partition is checked by its invariants."""
     r = Rolled(spark, d)
     nodes = r.nodes.where("not external").select("id", F.lit("all").alias("part"))
-    return an.dense_communities(an.communities(nodes, an.clustering_pairs(r.nodes, r.edges), r.scratch))
+    return an.dense_communities(an.communities(nodes, an.clustering_pairs(r.nodes, r.edges), r.scratch), r.scratch)
 
 
 @query("k6_anchored_hierarchy")

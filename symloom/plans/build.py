@@ -33,7 +33,7 @@ def build_snapshot(spark: SparkSession, store: SnapshotStore, run: str, graph: d
     }
     if cluster:
         inner = nodes.where("not external").select("id", F.lit("all").alias("part"))
-        flat = scratch.save(an.dense_communities(an.communities(inner, an.clustering_pairs(nodes, edges), scratch)), "flat")
+        flat = scratch.save(an.dense_communities(an.communities(inner, an.clustering_pairs(nodes, edges), scratch), scratch), "flat")
         derived["analysis_flat_communities"] = an.community_records(nodes, degrees, flat)
         derived["analysis_node_membership"] = an.membership_records(nodes, flat)
     store.write(run, derived)

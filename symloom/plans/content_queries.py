@@ -185,6 +185,19 @@ def p10(spark: SparkSession, d: str) -> DataFrame:
     return ps.flat_map(t, ps.css_imports, "key long, verb string, target string")
 
 
+@query(
+    "content_p10_import_targets",
+    """select n_nationkey "key", '../base/s' || n_regionkey target, case when n_regionkey % 2 = 0 then 'css/base/s' || n_regionkey || '.scss' else 'css/base/_s' || n_regionkey || '.scss' end path, (10 + n_regionkey)::bigint dst from nation where n_regionkey < 4
+union all select n_nationkey, './reset.css', 'css/n/reset.css', 1 from nation""",
+)
+def p10_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Each sheet imports one of its region, found as it stands or as a partial, a plain one beside it and one that is not there."""
+    t = table(spark, d, "nation").selectExpr("cast(n_nationkey as bigint) key", "concat('@use \"../base/s', n_regionkey, '\";\\n@import \\'./reset.css\\';\\n@forward \"gone\";') text")
+    found = ps.flat_map(t, ps.css_imports, "key long, verb string, target string").withColumn("path", F.concat(F.lit("css/n/n"), "key", F.lit(".scss")))
+    sheets = spark.range(4).selectExpr("10 + id id", "concat('css/base/', if(id % 2 = 0, '', '_'), 's', id, '.scss') path").union(spark.createDataFrame([(1, "css/n/reset.css")], "id long, path string"))
+    return co.css_import_targets(found, sheets)
+
+
 @query("content_p11_class_usage", """with t as (select c_custkey "key", 'k' || (c_custkey % 60) name, c_custkey % 2 = 0 marked from customer), cl as (select i id, 'k' || (i % 40) name from range(45) r(i))
 select "key", t.name, cl.id dst, case when (select count(*) from cl x where x.name = t.name) > 1 then 'ambiguous' when marked then 'exact' else 'fuzzy' end grade from t join cl using (name)""")
 def p11(spark: SparkSession, d: str) -> DataFrame:

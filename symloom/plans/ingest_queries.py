@@ -177,12 +177,35 @@ def i17(spark: SparkSession, d: str) -> DataFrame:
     return s.select("d", ing.kind_of_descriptor(F.col("d")).alias("kind"))
 
 
+@query(
+    "i17_numbered_kinds",
+    "select distinct k number, case k when 7 then 'class' when 26 then 'method' when 63 then 'variable' when 35 then 'package' when 12 then 'enum_member' when 17 then 'function' else 'namespace' end kind from (select [0, 7, 26, 63, 35, 81, 3, 12, 17, 99][(id % 10)::int + 1] k from symbols)",
+)
+def i17_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds by number; an unknown number, here of a namespace, leaves it to the descriptor."""
+    numbers = F.array(*map(F.lit, (0, 7, 26, 63, 35, 81, 3, 12, 17, 99)))
+    n = table(spark, d, "symbols").select(F.element_at(numbers, (F.col("id") % 10 + 1).cast("int")).alias("number")).distinct()
+    return n.select("number", ing.kind_of(F.col("number"), F.lit("a/")).alias("kind"))
+
+
+@query(
+    "i18_test_paths",
+    "select distinct path, regexp_matches(path, '^(.*/)?tests/.*$') or regexp_matches(path, '^.*_test\\.[^/]*$') or regexp_matches(path, '^[^/]*/s[^/]an\\.rs$') is_test from files where path is not null",
+)
+def i18_paths(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files").where("path is not null").select("path").distinct()
+    return f.select("path", ing.test_path(F.col("path"), ("**/tests/**", "**_test.*", "*/s?an.rs")).alias("is_test"))
+
+
 @query(
     "i18_test_symbols",
     """with s as (select distinct "language", kind, replace(replace(pub_id, 'digest', 'tests'), 'anchor', 'x_test') p from symbols where pub_id is not null), n as (select *, regexp_extract(p, '^[^:]+:(.*)$', 1) nat from s),
-r as (select *, list_transform(string_split(nat, '::'), lambda x: regexp_replace(x, '[/.#]+$', '')) rs from n)
+r as (select *, list_transform(string_split(nat, '::'), lambda x: regexp_replace(x, '[/.#]+$', '')) rs, string_split(nat, '.') ps from n)
 select p, case when "language" = 'rust' then list_has_any(list_slice(rs, 1, len(rs) - 1), ['tests', 'test', 'bench', 'benches']) or (list_has_any(rs[-1:], ['tests', 'test', 'bench', 'benches']) and kind in ('package', 'module', 'namespace'))
-when "language" = 'go' then len(list_filter(regexp_split_to_array(nat, '[/.]'), lambda x: ends_with(x, '_test') or x in ('tests', 'test'))) > 0 else false end is_test from r""",
+when "language" = 'go' then len(list_filter(regexp_split_to_array(nat, '[/.]'), lambda x: ends_with(x, '_test') or x in ('tests', 'test'))) > 0
+when "language" = 'python' then len(list_filter(list_slice(ps, 1, len(ps) - 1), lambda x: x in ('tests', 'test', '__tests__') or ends_with(x, '_test'))) > 0 or len(list_filter(ps, lambda x: starts_with(x, 'test_'))) > 0 or ps[-1] = 'conftest'
+ or ((ps[-1] in ('tests', 'test', '__tests__') or ends_with(ps[-1], '_test')) and kind in ('package', 'module', 'namespace'))
+ or ((starts_with(ps[-1], 'Test') or ends_with(ps[-1], 'Test') or ends_with(ps[-1], 'TestCase')) and kind in ('class', 'struct', 'trait', 'interface', 'enum', 'type_alias')) else false end is_test from r""",
 )
 def i18(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "symbols").where("pub_id is not null").selectExpr("language", "kind", "replace(replace(pub_id, 'digest', 'tests'), 'anchor', 'x_test') p").distinct()

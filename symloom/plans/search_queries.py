@@ -262,7 +262,7 @@ fi as (select 'fnd_' || doc_id id, "text", created_at, rn, list_filter([case whe
 lc as (select distinct regexp_extract(tag, '^(supersedes|tombstone):(.+)$', 2) id, case regexp_extract(tag, '^(supersedes|tombstone):(.+)$', 1) when 'supersedes' then 'superseded' else 'tombstoned' end state from (select unnest(tags) tag from fi) where regexp_matches(tag, '^(supersedes|tombstone):')),
 lv as (select * from fi where id not in (select id from lc)),
 ev as (select fi.id finding_id, s.id seq, s.path anchor, case when s.id % 13 = 0 then 'detach' when s.id % 6 = 0 then 'verify' else 'attach' end op, s.t ts, 'sha' || (s.id % 4) sha, case when s.id % 12 = 0 then 'no_longer_true' else 'still_true' end outcome
-  from (select id, arg_max(path, loaded_at) path, max(t) t from session_files where id is not null and path is not null group by id) s join fi on fi.rn = 1 + s.id % 97),
+  from (select id, arg_max(path, loaded_at) path, max(t) t from session_files where id is not null and path is not null group by id) s join fi on fi.rn = 1 + s.id % (select count(*) from fi)),
 off as (select finding_id, anchor, max(seq) o from ev where op = 'detach' group by all),
 ee as (select ev.* from ev left join off using (finding_id, anchor) where op <> 'detach' and (o is null or seq > o)),
 fa as (select finding_id, anchor, count(*) filter (op = 'attach') attach_count, max(ts) filter (op = 'attach') recency, arg_max(sha, struct_pack(t := ts, s := seq)) filter (op = 'attach') sha, arg_min(sha, seq) filter (op = 'attach') origin_sha,
@@ -283,7 +283,8 @@ def _findings(spark: SparkSession, d: str) -> DataFrame:
 def _events(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "session_files").where("id is not null and path is not null").groupBy("id").agg(F.max_by("path", "loaded_at").alias("path"), F.max("t").alias("t"))
     f = _findings(spark, d).select(F.col("id").alias("finding_id"), "rn")
-    j = s.join(f, F.col("rn") == 1 + F.col("id") % 97)
+    s = s.crossJoin(F.broadcast(f.agg(F.count(F.lit(1)).alias("n")))).where("n > 0")  # one row
+    j = s.join(f, F.col("rn") == 1 + F.col("id") % F.col("n"))
     return j.selectExpr(
         "finding_id", "id seq", "path anchor", "case when id % 13 = 0 then 'detach' when id % 6 = 0 then 'verify' else 'attach' end op", "t ts", "concat('sha', id % 4) sha",
         "case when id % 12 = 0 then 'no_longer_true' else 'still_true' end outcome",
@@ -340,16 +341,20 @@ NOW = 1_756_000_000
 
 @query(
     "n6_find_directives",
-    FINDINGS + f""", ch as (select distinct path from session_files where id % 3 = 0 and path is not null),
+    FINDINGS + f""", ch as (select distinct path from session_files where path is not null),
 hp as (select distinct array_to_string(list_slice(string_split(path, '/'), 1, n), '/') k from ch, generate_series(1, 12) g(n) where n <= len(string_split(path, '/'))),
 dr as (select id from lv where list_has_any(tags, ['directive', 'guide'])),
 st as (select finding_id id, max(attach_count * pow(0.5, greatest({NOW} - epoch(recency)::bigint, 0) / 2592000.0)) s from fa where rtrim(anchor, '/') in (select k from hp) and finding_id in (select id from dr) group by 1),
-rk as (select id, 1.0 / (60 + row_number() over (order by round(s, 9) desc nulls last, id)) score from st)
+sm as (select 'fnd_' || b.vec_id id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) s from embeddings a, embeddings b where a.vec_id = 7),
+rk as (select id, sum(p) score from (select id, 1.0 / (60 + row_number() over (order by round(s, 9) desc nulls last, id)) p from st union all select id, 1.0 / (60 + row_number() over (order by round(s, 9) desc, id)) from sm where s >= 0.5 and id in (select id from dr)) group by id)
 select id, round(score::double, 6) score, row_number() over (order by round(score::double, 9) desc, id) "rank" from rk qualify "rank" <= 50""",
 )
 def n6(spark: SparkSession, d: str) -> DataFrame:
-    paths = table(spark, d, "session_files").where("id % 3 = 0 and path is not null").select("path").distinct()
-    out = fd.find_directives(_findings(spark, d), fd.fold_anchors(_events(spark, d)), paths, NOW, 50)
+    paths, scratch = table(spark, d, "session_files").where("path is not null").select("path").distinct(), Scratch(spark, "directives")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = v.where("id = 7").select(F.col("vec").alias("asked"))  # one vector
+    near = v.crossJoin(F.broadcast(asked)).select(F.concat(F.lit("fnd_"), "id").alias("id"), se.dot(se.unit(F.col("vec")), se.unit(F.col("asked"))).alias("cosine"))
+    out = fd.find_directives(_findings(spark, d), fd.fold_anchors(_events(spark, d)), paths, NOW, 50, scratch, near)
     return out.select("id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -14,7 +14,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
@@ -177,6 +177,16 @@ class Scratch:
         self.files.delete(path)
 
 
+def numbered(df: DataFrame, name: str, scratch: Scratch, *order: Column) -> DataFrame:
+    """``df`` with its place from 1 in a total order: sorted by ranges and written, counted within each range."""
+    ranges = scratch.save(df.orderBy(*order).withColumn("__part", F.spark_partition_id()), "sorted")
+    sizes = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    out = ranges.withColumn("__at", within).join(sizes.select("__part", before.alias("__before")), "__part")
+    return out.withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
 def input_mark(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
     """A mark of the state of tables: paths, lengths and times of their files."""
     root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)

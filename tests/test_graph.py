@@ -32,7 +32,7 @@ def test_two_triangles_split_whatever_their_ids(spark):
         m = an.communities(nodes, pairs, Scratch(spark, "c"))
         assert groups(m.collect()) == {frozenset(ids[:3]), frozenset(ids[3:])}
         assert an.modularity(pairs, m).collect()[0][0] > 0.3
-        dense = sorted(r.community_id for r in an.dense_communities(m).collect())
+        dense = sorted(r.community_id for r in an.dense_communities(m, Scratch(spark, "t")).collect())
         assert dense == [0, 0, 0, 1, 1, 1]
 
 
