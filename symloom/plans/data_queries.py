@@ -135,6 +135,29 @@ def p2_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("sym_id"), "ancestor")
 
 
+P2_ALL_PAIRS_SQL = f"""
+with recursive {P2_LINKS}
+down as (select id from link where parent is null union all select l.id from link l join down w on l.parent = w.id),
+good as (select l.id, l.parent from link l join down using (id)),
+up as (select id, parent anc from good where parent is not null union all select u.id, g.parent from up u join good g on u.anc = g.id where g.parent is not null)
+select {{cols}} from up
+"""
+
+
+@query("p2_all_descendants", P2_ALL_PAIRS_SQL.format(cols="anc sym_id, id descendant"))
+def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every symbol, by nested-set ranges."""
+    nodes = symbol_hierarchy(spark, d, named=False)
+    return h.descendants(nodes, nodes).select(F.col("id").alias("sym_id"), "descendant")
+
+
+@query("p2_all_ancestors", P2_ALL_PAIRS_SQL.format(cols="id sym_id, anc ancestor"))
+def p2_all_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """All ancestors of every symbol, by nested-set ranges."""
+    nodes = symbol_hierarchy(spark, d, named=False)
+    return h.ancestors(nodes, nodes).select(F.col("id").alias("sym_id"), "ancestor")
+
+
 # 3: references to records that do not exist --------------------------------------------------
 
 

@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+
 from symloom.operators import hierarchy as h
+from symloom.plans import ORACLES
+from symloom.plans import data_queries as dq
 from symloom.runtime import Scratch
 
 
@@ -86,3 +90,16 @@ def test_ranges_give_all_ancestors_and_descendants(spark, monkeypatch):
     got = [(r.ancestor, r.id) for r in h.ancestors(nodes, of).collect()]
     assert set(got) == want and len(got) == len(want)
     assert h.descendants(nodes.where("false"), of).count() == 0
+
+
+def test_listings_of_all_symbols(spark, tmp_path):
+    parent = {1: 0, 2: 1, 3: 2, 20: 3, 21: 20, 22: 99, 23: 22, 30: 31, 31: 30, 32: 30, -7: 23}  # 99 is absent, 30 and 31 a loop
+    rows = [(k, v, 2, "x") for k, v in parent.items()] + [(2, 23, 1, "x"), (3, 2, 2, "x"), (None, 1, 2, "x")]
+    spark.createDataFrame(rows, "id long, enclosing_sym_id long, loaded_at int, name string").write.parquet(f"{tmp_path}/symbols.parquet")
+    want = {(1, 2), (1, 3), (1, 20), (1, 21), (2, 3), (2, 20), (2, 21), (3, 20), (3, 21), (20, 21), (22, 23), (22, -7), (23, -7)}
+    con = duckdb.connect()
+    con.execute(f"create view symbols as select * from '{tmp_path}/symbols.parquet/*.parquet'")
+    for listing, top, low in ((dq.p2_all_descendants, "sym_id", "descendant"), (dq.p2_all_ancestors, "ancestor", "sym_id")):
+        got = [(r[top], r[low]) for r in listing(spark, str(tmp_path)).collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert sorted(con.execute(f"select {top}, {low} from ({ORACLES[listing.__name__]})").fetchall()) == sorted(want)
