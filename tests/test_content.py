@@ -46,3 +46,21 @@ def test_pairs_of_one_name_are_many_tasks(spark):
     per = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per) == 40_000 and max(per) <= 8_000
     assert out.distinct().count() == 40_000 and {r.k for r in out.select("k").distinct().collect()} == {100}
+
+
+def test_pages_are_parsed_once_for_their_classes(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def elements(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(k, i, i - 1, "x" if k and i == 1 else None, "a b" if i % 3 == 0 else None) for k in range(4) for i in range(20)]
+    e = spark.createDataFrame(rows, "key long, ordinal int, parent int, id string, class string").mapInArrow(elements, "key long, ordinal int, parent int, id string, class string")
+    classes = spark.createDataFrame([(1, "a"), (2, "a")], "id long, name string")
+    got = co.html_class_usage(e, classes)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    want = {(k, 1 if k and deep else -1, *x) for k in range(4) for deep in (0, 1) for x in (("a", 1, "ambiguous"), ("a", 2, "ambiguous"), ("b", None, "dangling"))}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert read.value == len(rows)
