@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom import model
 from symloom.runtime import Scratch, numbered
 
+SENT_NODES = 2_000_000  # nodes whose communities are sent to all executors; of more they are joined by a shuffle
+
 
 def collapse(edges: DataFrame) -> DataFrame:
     """a, b, weight: one row an unordered pair, summed over kinds and directions."""
@@ -48,6 +51,7 @@ def communities(nodes: DataFrame, pairs: DataFrame, scratch: Scratch, passes: in
     community. Neighbours' moves are seen in the next pass, so results do not depend on any order, but the
     partition may differ from one found node by node. A node without edges stays alone.
     """
+    spark = nodes.sparkSession
     inside = nodes.select("id", "part")
     both = pairs.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("nbr"), "weight").union(pairs.where("a <> b").select("b", "a", "weight"))
     part_of = inside.select(F.col("id").alias("nbr"), F.col("part").alias("nbr_part"))
@@ -55,35 +59,39 @@ def communities(nodes: DataFrame, pairs: DataFrame, scratch: Scratch, passes: in
     both = scratch.save(both, "arcs")
     degree = both.groupBy("id", "part").agg(F.sum("weight").cast("double").alias("k"))
     totals = degree.groupBy("part").agg(F.sum("k").alias("m2")).withColumnRenamed("part", "p")
-    degree = scratch.save(degree.join(totals, F.col("part").eqNullSafe(F.col("p"))).select("id", "part", "k", "m2"), "degrees")
-    state = scratch.save(degree.select("id", F.col("id").alias("community")), "state")
+    state = scratch.save(degree.join(totals, F.col("part").eqNullSafe(F.col("p"))).select("id", F.col("id").alias("community"), "k", "m2"), "state")
+    # arcs of a node stay in one partition, so that no pass shuffles them; communities of neighbours are sent to them while they fit
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    arcs = both.select("id", "nbr", "weight").repartition(parts, "id").sortWithinPartitions("id").persist(StorageLevel.DISK_ONLY)
+    arcs.count()  # how kept rows lie is known to a plan only once they are there
+    few = state.count() <= SENT_NODES
     quiet = 0
     for turn in range(2 * passes):
-        c = state.select(F.col("id").alias("nbr"), F.col("community").alias("to"))
-        into = both.join(c, "nbr").groupBy("id", "to").agg(F.sum("weight").cast("double").alias("k_in"))
-        cur = state.join(degree, "id")
-        tot = cur.groupBy(F.col("community").alias("to")).agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("members"))
-        options = into.join(cur, "id").join(tot, "to")
+        due = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        tot = state.groupBy("community").agg(F.sum("k").alias("tot"), F.count(F.lit(1)).alias("members"))
+        c = state.select("id", "community").join(tot, "community").select(F.col("id").alias("nbr"), F.col("community").alias("to"), "tot", (F.col("members") == 1).alias("lone"))
+        into = arcs.where(due).join(F.broadcast(c) if few else c, "nbr").groupBy("id", "to").agg(F.sum("weight").cast("double").alias("k_in"), F.max("tot").alias("tot"), F.max("lone").alias("lone"))
+        cur = state.where(due).join(tot.select("community", F.col("tot").alias("own_tot")), "community")
+        options = into.join(cur.hint("shuffle_hash"), "id")
         own = F.col("to") == F.col("community")
         gain = F.col("k_in") - (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) * F.col("k") / F.col("m2")
-        lone = F.col("members") == 1
-        options = options.withColumn("gain", gain).withColumn("own", own).withColumn("lone", lone)
+        options = options.withColumn("gain", gain).withColumn("own", own)
         stay = F.max(F.when(F.col("own"), F.col("gain")))
         # two lone nodes would swap for ever; only the one with the greater community moves
-        move = F.max_by(F.struct("gain", "to"), F.when(~F.col("own") & ~(F.col("lone") & (F.col("to") > F.col("community"))), F.struct("gain", -F.col("to"))))
-        best = options.groupBy("id", "community", "k", "m2").agg(stay.alias("stay"), move.alias("best"))
-        alone = tot.select(F.col("to").alias("community"), F.col("tot").alias("own_tot"))
-        best = best.join(alone, "community")
+        move = F.max(F.when(~F.col("own") & ~(F.col("lone") & (F.col("to") > F.col("community"))), F.struct("gain", (-F.col("to")).alias("to"))))
+        best = options.groupBy("id").agg(*(F.max(x).alias(x) for x in ("community", "k", "m2", "own_tot")), stay.alias("stay"), move.alias("best"))
         # staying without any neighbour in the own community gains nothing but the penalty of its other members
         kept = F.coalesce("stay", -(F.col("own_tot") - F.col("k")) * F.col("k") / F.col("m2"))
-        turn_of = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        goes = turn_of & F.col("best.gain").isNotNull() & (F.col("best.gain") > kept + 1e-9)
-        after = scratch.save(best.select("id", F.when(goes, F.col("best.to")).otherwise(F.col("community")).alias("community"), F.coalesce(goes, F.lit(False)).alias("moved")), "state")
+        goes = F.coalesce(F.col("best.gain") > kept + 1e-9, F.lit(False))
+        after = best.select("id", F.when(goes, -F.col("best.to")).otherwise(F.col("community")).alias("community"), "k", "m2", goes.alias("moved"))
+        after = scratch.save(after.unionByName(state.where(~due).withColumn("moved", F.lit(False))), "state")
         moved = after.where("moved").limit(1).count()
-        state = after.select("id", "community")
+        state = after.drop("moved")
         quiet = 0 if moved else quiet + 1
         if quiet == 2:
             break
+    arcs.unpersist()
+    state = state.select("id", "community")
     rest = inside.join(state.select("id"), "id", "left_anti").select("id", F.col("id").alias("community"))
     return state.unionByName(rest)
 
